@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .language import op4_language
 from .neardup import OP2_SQL, op2_neardup
 from .packing import op7_packing
+from .pii import op3_pii
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_neardup": op2_neardup,
+    "op3_pii": op3_pii,
+    "op4_language": op4_language,
     "op7_packing": op7_packing,
 }
 ORACLE = {

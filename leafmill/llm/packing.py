@@ -304,17 +304,13 @@ def _placer(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return place
 
 
-#: Rows that one ranking group holds on average.
-RANK_GROUP = 50_000
-
-
 def pack(documents: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for each piece of each document.
 
     The tokens are computed once and the pieces written to the checkpoint folder.  The driver sees one count for
     each length (at most ``capacity``) and the plan, whose size follows the number of distinct lengths, not of
-    documents.  Ranks within a length are counted in salted groups of about ``RANK_GROUP`` rows, so a length that
-    a third of all documents share is dealt over many tasks.
+    documents.  Ranks within a length are counted in salted groups, about as many as each holds rows, so a length
+    that a third of all documents share is dealt over many tasks.
 
     Null or empty text: the end id alone, one piece of length 1.  Null or repeated doc_ids: each row is packed as
     a document of its own.  An empty table gives no rows; other columns are not read.  A document of exactly
@@ -323,8 +319,8 @@ def pack(documents: DataFrame, path: str, capacity: int = 4096, end_id: int = 1,
     pieces = cut(cut_into_pieces(documents, path, capacity, end_id, text, doc_id))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = make_plan(counts, capacity)
-    groups = max(1, -(-max(counts.values(), default=1) // RANK_GROUP))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
+    groups = F.create_map(*[F.lit(int(x)) for length, n in counts.items() for x in (length, max(1, round(n**0.5)))]) if counts else F.create_map(F.lit(0), F.lit(1))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), groups[F.col("length").cast("int")].cast("long")).cast("int"))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     bases = sizes.select("length", "salt", F.coalesce(before, F.lit(0)).alias("base"))
