@@ -26,15 +26,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest document of each class at 80 % of five-word shingles; of repeated doc_ids one row stays.
+    """Keeps the smallest document of each class at 80 % of five-word shingles.
 
-    Rows with a null doc_id stay, unless their shingle set is that of a row with one.
+    Of rows with one doc_id one stays: the text whose hash is least.  Rows with a null doc_id all stay.
     """
-    found = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).where("_kept is not null").distinct()
-    named = docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col("_kept"), "left_semi")
-    one = named.groupBy("doc_id").agg(F.min(F.struct(*[F.col(c) for c in docs.columns if c != "doc_id"])).alias("_row"))
-    one = one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_row.`{c}`") for c in docs.columns])
-    return one.unionByName(docs.where("doc_id is null"))
+    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    texts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("_text"))
+    named = docs.join(kept.join(texts, "doc_id"), "doc_id").where(F.xxhash64("text") == F.col("_text"))
+    return named.dropDuplicates(["doc_id"]).select(*_same(docs)).unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

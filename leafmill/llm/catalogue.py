@@ -7,15 +7,18 @@ from .language import op4_language
 from .neardup import OP2_SQL, op2_neardup
 from .packing import op7_packing
 from .pii import op3_pii
+from .substrings import OP5_SQL, op5_substrings
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_neardup": op2_neardup,
     "op3_pii": op3_pii,
     "op4_language": op4_language,
+    "op5_substrings": op5_substrings,
     "op7_packing": op7_packing,
 }
 ORACLE = {
     "op1_decontaminate": OP1_SQL,
     "op2_neardup": OP2_SQL,
+    "op5_substrings": OP5_SQL,
 }

@@ -79,6 +79,33 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int, tuples: int, width: int)
             )
 
 
+#: Bins of the one-permutation sketch: the first hash of each 1/256 of the hash range.
+BINS = 256
+_BOUNDS = np.arange(BINS, dtype=np.uint64) << _U(56)
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """One byte per bin of a sorted set: 0 for an empty bin, else 1 to 255 from its least hash."""
+    at = np.searchsorted(shingles, _BOUNDS)
+    ends = np.append(at[1:], len(shingles))
+    out = np.zeros(BINS, np.uint8)
+    full = at < ends
+    out[full] = (W.mix(shingles[at[full]]) % _U(255)).astype(np.uint8) + 1
+    return out.tobytes()
+
+
+def _alike(batches: Iterator[pa.RecordBatch], share: float, sigmas: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of rows (a, b, sketch of a, sketch of b) that may reach a similarity of ``share``."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
+        bins = ((x > 0) | (y > 0)).sum(axis=1)
+        same = ((x == y) & (x > 0)).sum(axis=1)
+        good = same >= share * bins - sigmas * np.sqrt(share * (1 - share) * bins)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
+
+
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         flat, offs = W.text_buffers(batch.column(1))
@@ -87,16 +114,23 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             begins = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             values = pa.array(np.concatenate(sets).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(begins, values)], names=["node", "shingles"]
+                [batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(begins, values), pa.array([sketch(x) for x in sets], pa.binary())],
+                names=["node", "shingles", "sketch"],
             )
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose full sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    """Those of ``pairs(a, b)`` whose full sets are similar enough.
+
+    Pairs whose sketches differ by more than 4.2 standard deviations from what the threshold would give are not
+    compared (a pair at the threshold is lost with probability 0.00002), so sets travel only for likely links.
+    """
+    side = lambda k, column, name: sets.select(F.col("node").alias(k), F.col(column).alias(name))
+    likely = pairs.join(side("a", "sketch", "s"), "a").join(side("b", "sketch", "t"), "b").select("a", "b", "s", "t")
+    likely = cut(likely.mapInArrow(partial(_alike, share=percent / 100, sigmas=4.2), "a long, b long"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+    met = likely.join(side("a", "shingles", "x"), "a").join(side("b", "shingles", "y"), "b")
+    return met.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
 def near_duplicates(
@@ -118,8 +152,7 @@ def near_duplicates(
 
     Equal sets first become one class, named by its smallest document, so copies are never paired.  In each table
     bucket all classes are compared with one hub only; what is still apart after ``star_rounds`` such rounds is
-    then compared pair by pair, each pair in the first table that holds both, so no candidate link between
-    different components is skipped.  Equality of 64-bit shingle hashes stands for equality of shingles.
+    then compared pair by pair, so no candidate link between different components is skipped.  Equality of 64-bit shingle hashes stands for equality of shingles.
 
     Null or empty text: an empty set, linked with nothing, kept.  Rows of one doc_id are one document that any of
     its texts can link.  A null doc_id cannot name a component: its row joins a class of equal sets, else
@@ -149,21 +182,21 @@ def near_duplicates(
         F.collect_list(F.when(F.col("side") == 0, F.struct("i", "half"))).alias("us"),
         F.collect_list(F.when(F.col("side") == 1, F.struct("i", "half"))).alias("vs"),
     )
-    gathered = cut(gathered.where("size(us) > 0 and size(vs) > 0"))
     entries = (
-        gathered.select("node", "n", F.explode("us").alias("p"), "us", "vs")
-        .select("node", "n", "p", "us", "vs", F.explode("vs").alias("q"))
-        .select(F.xxhash64("p.i", "q.i", "p.half", "q.half").alias("bucket"), "node", "n", F.col("p.i").alias("i"), F.col("q.i").alias("j"))
+        gathered.where("size(us) > 0 and size(vs) > 0")
+        .select("node", "n", F.explode("us").alias("p"), "vs")
+        .select("node", "n", "p", F.explode("vs").alias("q"))
+        .select(F.xxhash64("p.i", "q.i", "p.half", "q.half").alias("bucket"), "node", "n")
     )
     alive = entries.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
-    entries = cut(entries.join(alive, "bucket"))
-    named = entries.select("node").distinct()
-    sets = cut(rows.join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(partial(_sets, size=shingle), "node long, shingles array<long>"))
+    nodes = cut(entries.join(alive, "bucket").groupBy("node", "n").agg(F.collect_list("bucket").alias("buckets")))
+    named = nodes.select(F.col("node").alias("doc_id"))
+    sets = cut(rows.join(named, "doc_id", "left_semi").mapInArrow(partial(_sets, size=shingle), "node long, shingles array<long>, sketch binary"))
 
     links, label = None, None
     for turn in range(star_rounds + 1):
-        live = _across(entries, label)
-        pairs = _stars(live, turn) if turn < star_rounds else _rest(live, gathered, percent)
+        live = _labelled(nodes, label)
+        pairs = _stars(live, turn) if turn < star_rounds else _rest(live, percent)
         found = _linked(pairs, sets, percent)
         links = cut(found if links is None else links.unionByName(found))
         label = connected_components(links)
@@ -176,37 +209,38 @@ def near_duplicates(
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _across(entries: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Entries of buckets that hold more than one component, with their component as ``label``."""
+def _labelled(nodes: DataFrame, label: DataFrame | None) -> DataFrame:
+    """``bucket, node, n, label``: the bucket entries of all classes with their component so far."""
     if label is None:
-        return entries.withColumn("label", F.col("node"))
-    named = entries.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    return named.join(mixed, "bucket")
+        named = nodes.withColumn("label", F.col("node"))
+    else:
+        named = nodes.join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    return named.select(F.explode("buckets").alias("bucket"), "node", "n", "label")
 
 
 def _stars(live: DataFrame, turn: int) -> DataFrame:
-    """Pairs of a class and the hub of a bucket; in the first turn only the least hub of all its buckets."""
+    """Pairs of a class and the hub of a bucket of several components; in the first turn only its least hub."""
     rank = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
-    hubs = live.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "node", "label")).alias("hub"))
-    met = live.join(hubs, "bucket").where("label <> hub.label").select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+    hubs = live.groupBy("bucket").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(rank.alias("rank"), F.col("node"), F.col("label"))).alias("hub")
+    )
+    hubs = hubs.where("lo < hi").select("bucket", F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label"))
+    met = live.join(hubs, "bucket").where("label <> hub_label").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     if turn:
         return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     return met.groupBy("a").agg(F.min("b").alias("b"))
 
 
-def _rest(live: DataFrame, gathered: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components, each in the first table that holds both; the largest component of a bucket is not paired with itself."""
+def _rest(live: DataFrame, percent: int) -> DataFrame:
+    """All pairs of one bucket but different components; the largest component of a bucket is not paired with itself."""
     counted = live.groupBy("bucket", "label").agg(F.count("*").alias("size"))
-    major = counted.groupBy("bucket").agg(F.max(F.struct("size", "label"))["label"].alias("major"))
-    signed = live.join(gathered.select("node", "us", "vs"), "node").join(major, "bucket")
-    side = lambda k: signed.select("bucket", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "label", "us", "vs", "i", "j", "major")])
-    first = lambda x: F.array_min(F.transform(F.array_intersect(f"{x}1", f"{x}2"), lambda y: y["i"]))
-    pairs = side(1).where("label1 <> major1").drop("major1").join(side(2).drop("i2", "j2"), "bucket")
-    pairs = pairs.where("label1 <> label2 and (label2 = major2 or node1 < node2)")
+    major = counted.groupBy("bucket").agg(F.max(F.struct("size", "label"))["label"].alias("major"), F.count("*").alias("labels"))
+    mixed = live.join(major.where("labels > 1").drop("labels"), "bucket")
+    minor = mixed.where("label <> major").select("bucket", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("label").alias("label1"))
+    other = mixed.select("bucket", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("label").alias("label2"), "major")
+    pairs = minor.join(other, "bucket").where("label1 <> label2 and (label2 = major or a > b)")
     pairs = pairs.where(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-    pairs = pairs.where((first("us") == F.col("i1")) & (first("vs") == F.col("j1")))
-    return pairs.select(F.col("node1").alias("a"), F.col("node2").alias("b"))
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
