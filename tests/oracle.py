@@ -61,8 +61,8 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
 
     args = sys.argv[1:]
-    sf = args.pop(1) if args[:1] == ["--sf"] and args.pop(0) else "0.01"
-    session = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    sf = args.pop(0) if args[:1] == ["--sf"] and args.pop(0) else "0.01"
+    session = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     queries, oracle = entry.queries(), entry.oracle_sql()
     for name in args or queries:
