@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .embeddings import OP10_SQL, op10_embeddings
 from .language import op4_language
 from .neardup import OP2_SQL, op2_neardup
 from .packing import op7_packing
 from .pii import op3_pii
 from .substrings import OP5_SQL, op5_substrings
+from .urlfilter import OP9_SQL, op9_urlfilter
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -16,9 +18,13 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_substrings": op5_substrings,
     "op7_packing": op7_packing,
+    "op9_urlfilter": op9_urlfilter,
+    "op10_embeddings": op10_embeddings,
 }
 ORACLE = {
     "op1_decontaminate": OP1_SQL,
     "op2_neardup": OP2_SQL,
     "op5_substrings": OP5_SQL,
+    "op9_urlfilter": OP9_SQL,
+    "op10_embeddings": OP10_SQL,
 }
