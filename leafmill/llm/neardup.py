@@ -113,9 +113,10 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             sets = list(shingle_sets(flat[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], size))
             begins = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             values = pa.array(np.concatenate(sets).view(np.int64))
+            ids = [int.from_bytes(xxhash.xxh3_128_digest(x.tobytes())[:8], "little", signed=True) for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(begins, values), pa.array([sketch(x) for x in sets], pa.binary())],
-                names=["node", "shingles", "sketch"],
+                [batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(begins, values), pa.array([sketch(x) for x in sets], pa.binary())],
+                names=["node", "set_lo", "shingles", "sketch"],
             )
 
 
@@ -169,34 +170,42 @@ def near_duplicates(
     pieces = classes.select(
         "node",
         "n",
+        "set_lo",
         F.explode(
             F.concat(
                 F.transform("u", lambda x, i: F.struct(F.lit(0).alias("side"), i.alias("i"), x.alias("half"))),
                 F.transform("v", lambda x, i: F.struct(F.lit(1).alias("side"), i.alias("i"), x.alias("half"))),
             )
         ).alias("p"),
-    ).select("node", "n", "p.side", "p.i", "p.half")
+    ).select("node", "n", "set_lo", "p.side", "p.i", "p.half")
     shared = pieces.groupBy("side", "i", "half").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("side", "i", "half")
     halves = pieces.join(shared, ["side", "i", "half"])
-    gathered = halves.groupBy("node", "n").agg(
+    gathered = halves.groupBy("node", "n", "set_lo").agg(
         F.collect_list(F.when(F.col("side") == 0, F.struct("i", "half"))).alias("us"),
         F.collect_list(F.when(F.col("side") == 1, F.struct("i", "half"))).alias("vs"),
     )
-    entries = (
-        gathered.where("size(us) > 0 and size(vs) > 0")
-        .select("node", "n", F.explode("us").alias("p"), "vs")
-        .select("node", "n", "p", F.explode("vs").alias("q"))
-        .select(F.xxhash64("p.i", "q.i", "p.half", "q.half").alias("bucket"), "node", "n")
+    gathered = gathered.where("size(us) > 0 and size(vs) > 0")
+    tables = (
+        gathered.select("node", "n", "set_lo", F.explode("us").alias("p"), "vs")
+        .select("node", "n", "set_lo", "p", F.explode("vs").alias("q"))
+        .select(F.xxhash64("p.i", "q.i", "p.half", "q.half").alias("bucket"), "node", "n", "set_lo", (F.col("p.i") * tuples + F.col("q.i")).alias("at"))
     )
-    alive = entries.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
-    nodes = cut(entries.join(alive, "bucket").groupBy("node", "n").agg(F.collect_list("bucket").alias("buckets")))
-    named = nodes.select(F.col("node").alias("doc_id"))
-    sets = cut(rows.join(named, "doc_id", "left_semi").mapInArrow(partial(_sets, size=shingle), "node long, shingles array<long>, sketch binary"))
+    alive = tables.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
+    nodes = cut(tables.join(alive, "bucket").groupBy("node", "n", "set_lo").agg(F.collect_list(F.struct("bucket", "at")).alias("buckets")))
+    named = nodes.select(F.col("node").alias("doc_id")).distinct()
+    sets = rows.join(named, "doc_id", "left_semi").mapInArrow(partial(_sets, size=shingle), "node long, set_lo long, shingles array<long>, sketch binary")
+    sets = cut(sets.dropDuplicates(["node", "set_lo"]))
+    # Shingles that no other candidate has can be in no intersection: ``most`` bounds every intersection of a set.
+    held = sets.select("set_lo", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("set_lo").alias("a"), F.max("set_lo").alias("b"))
+    alone = held.where("a = b").groupBy(F.col("a").alias("set_lo")).agg(F.count("*").alias("alone"))
+    ints = F.concat(*[F.transform(c, lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")) for c in ("u", "v")]).alias("halves")
+    nodes = nodes.join(alone, "set_lo", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    nodes = cut(nodes.where(100 * F.col("most") >= percent * F.col("n")).join(classes.select("set_lo", "node", ints), ["set_lo", "node"]))
 
     links, label = None, None
     for turn in range(star_rounds + 1):
         live = _labelled(nodes, label)
-        pairs = _stars(live, turn) if turn < star_rounds else _rest(live, percent)
+        pairs = _stars(live, turn, percent) if turn < star_rounds else _rest(live, percent, tuples)
         found = _linked(pairs, sets, percent)
         links = cut(found if links is None else links.unionByName(found))
         label = connected_components(links)
@@ -210,37 +219,49 @@ def near_duplicates(
 
 
 def _labelled(nodes: DataFrame, label: DataFrame | None) -> DataFrame:
-    """``bucket, node, n, label``: the bucket entries of all classes with their component so far."""
+    """The bucket entries of all classes with their component so far as ``label``."""
     if label is None:
         named = nodes.withColumn("label", F.col("node"))
     else:
         named = nodes.join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    return named.select(F.explode("buckets").alias("bucket"), "node", "n", "label")
+    named = named.select(F.explode("buckets").alias("e"), "node", "n", "most", "halves", "label")
+    return named.select("e.bucket", "e.at", "node", "n", "most", "halves", "label")
 
 
-def _stars(live: DataFrame, turn: int) -> DataFrame:
+def _may_link(n1: str, most1: str, n2: str, most2: str, percent: int) -> F.Column:
+    """Whether the sizes of two sets, and of what each can share, allow a link."""
+    return (100 + percent) * F.least(most1, most2) >= percent * (F.col(n1) + F.col(n2))
+
+
+def _stars(live: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs of a class and the hub of a bucket of several components; in the first turn only its least hub."""
     rank = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
     hubs = live.groupBy("bucket").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(rank.alias("rank"), F.col("node"), F.col("label"))).alias("hub")
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(rank.alias("rank"), "node", "label", "n", "most")).alias("hub")
     )
-    hubs = hubs.where("lo < hi").select("bucket", F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label"))
-    met = live.join(hubs, "bucket").where("label <> hub_label").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    hubs = hubs.where("lo < hi").select("bucket", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "label", "n", "most")])
+    met = live.drop("halves", "at").join(hubs, "bucket").where("label <> hub_label").where(_may_link("n", "most", "hub_n", "hub_most", percent))
+    met = met.select(F.col("node").alias("a"), F.col("hub_node").alias("b"))
     if turn:
         return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     return met.groupBy("a").agg(F.min("b").alias("b"))
 
 
-def _rest(live: DataFrame, percent: int) -> DataFrame:
-    """All pairs of one bucket but different components; the largest component of a bucket is not paired with itself."""
+def _rest(live: DataFrame, percent: int, tuples: int) -> DataFrame:
+    """All pairs of one bucket but different components that may link, each in the first table that holds both.
+
+    The largest component of a bucket is not paired with itself.
+    """
     counted = live.groupBy("bucket", "label").agg(F.count("*").alias("size"))
     major = counted.groupBy("bucket").agg(F.max(F.struct("size", "label"))["label"].alias("major"), F.count("*").alias("labels"))
     mixed = live.join(major.where("labels > 1").drop("labels"), "bucket")
-    minor = mixed.where("label <> major").select("bucket", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("label").alias("label1"))
-    other = mixed.select("bucket", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("label").alias("label2"), "major")
-    pairs = minor.join(other, "bucket").where("label1 <> label2 and (label2 = major or a > b)")
-    pairs = pairs.where(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    side = lambda k: mixed.select("bucket", *[F.col(c).alias(f"{c}{k}") for c in ("at", "node", "n", "most", "halves", "label", "major")])
+    pairs = side(1).where("label1 <> major1").drop("major1").join(side(2).drop("at2"), "bucket")
+    pairs = pairs.where("label1 <> label2 and (label2 = major2 or node1 < node2)").where(_may_link("n1", "most1", "n2", "most2", percent))
+    same = F.zip_with("halves1", "halves2", lambda x, y: x == y)
+    first = lambda lo: F.array_position(F.slice(same, lo, tuples), True) - 1
+    pairs = pairs.where(first(1) * tuples + first(tuples + 1) == F.col("at1"))
+    return pairs.select(F.greatest("node1", "node2").alias("a"), F.least("node1", "node2").alias("b"))
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
