@@ -2,25 +2,36 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import LEGACY_MARKERS, LEGACY_SOURCES, LEGACY_TARGETS
 
 
-@F.pandas_udf("string")
-def compose(values: pd.Series) -> pd.Series:
+def _by_text(function) -> Callable[[Column], Column]:
+    def column(value: Column) -> Column:
+        def run(values: pd.Series) -> pd.Series:
+            return values.map(lambda x: None if x is None else function(x))
+
+        return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)(value)
+
+    return column
+
+
+def compose(value: Column) -> Column:
     """Canonical composition (NFC)."""
-    return values.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+    return _by_text(lambda x: unicodedata.normalize("NFC", x))(value)
 
 
-@F.pandas_udf("string")
-def full_casefold(values: pd.Series) -> pd.Series:
+def full_casefold(value: Column) -> Column:
     """Full case folding."""
-    return values.map(lambda x: None if x is None else x.casefold())
+    return _by_text(str.casefold)(value)
 
 
 _TABLE = str.maketrans(LEGACY_SOURCES, LEGACY_TARGETS)
@@ -31,8 +42,6 @@ def decode_legacy(text: str) -> tuple[str, int]:
 
     Words go to capitals if their own ASCII letters, or those of their line, are all capitals (two and four at least).
     """
-    import re
-
     seen = Counter(c for c in text if c in LEGACY_MARKERS)
     if sum(seen.values()) < 4 or len(seen) < 3 or sum(seen.values()) / max(1, len(text)) < 0.002:
         return text, 0
@@ -53,17 +62,13 @@ def decode_legacy(text: str) -> tuple[str, int]:
     return unicodedata.normalize("NFC", "".join(lines)), sum(ord(c) in _TABLE for c in text)
 
 
-@F.pandas_udf("struct<text:string,changed:long>")
-def legacy_text(values: pd.Series) -> pd.DataFrame:
-    """Column form of :func:`decode_legacy`."""
-    done = [decode_legacy(x) if x is not None else (None, 0) for x in values]
-    return pd.DataFrame(done, columns=["text", "changed"])
+def legacy_text(value: Column) -> Column:
+    """Column form of :func:`decode_legacy`: struct of ``text`` and ``changed``."""
+    return F.udf(lambda x: (None, 0) if x is None else decode_legacy(x), "struct<text:string,changed:long>", useArrow=True)(value)
 
 
 def restore_case(text: str, capitals: list[str]) -> tuple[str, int]:
     """Put words that a capitals font shows in lower case back to capitals, longest first."""
-    import re
-
     changed = 0
     for source in sorted({c.strip() for c in capitals if c.strip() and c.strip() != c.strip().upper()}, key=len, reverse=True):
         text, n = re.subn(re.escape(source), source.upper(), text, flags=re.IGNORECASE)
