@@ -183,3 +183,33 @@ def speculation_references(value: Column) -> Column:
     none = F.array().cast("array<string>")
     urls = lambda k: F.coalesce(F.flatten(F.filter(F.transform(parsed[k], lambda r: r["urls"]), lambda u: u.isNotNull())), none)
     return F.array_sort(F.array_distinct(F.concat(urls("prefetch"), urls("prerender"))))
+
+
+def alias_closure(edges: DataFrame, seeds: DataFrame, checkpoint=lambda f: f.checkpoint()) -> DataFrame:
+    """name, root: names that stand for a seed by way of aliases (``edges`` of name and target).
+
+    Each round extends only what the last one found; a name is found once, so the rounds end.
+    """
+    known = seeds.select("name", F.col("name").alias("root")).distinct()
+    front = known
+    step = edges.select(F.col("name").alias("next"), F.col("target").alias("name"))
+    while front.limit(1).count():
+        more = front.join(step, "name").select(F.col("next").alias("name"), "root").distinct()
+        front = checkpoint(more.join(known, ["name", "root"], "left_anti"))
+        known = known.unionByName(front)
+    return known
+
+
+def nearest_bindings(uses: DataFrame, bindings: DataFrame) -> DataFrame:
+    """use, name, scope: the innermost enclosing scope that binds a name.
+
+    ``uses`` has use, name and ``path`` (array of scopes, outermost first); ``bindings`` has scope and name.
+    """
+    steps = uses.select("use", "name", F.posexplode("path").alias("depth", "scope"))
+    met = steps.join(bindings.distinct(), ["scope", "name"])
+    return met.groupBy("use", "name").agg(F.max_by("scope", "depth").alias("scope"))
+
+
+def root_mismatches(resources: DataFrame, expected: DataFrame) -> DataFrame:
+    """item_id, root, expected: resources whose root element is not the one of their media type."""
+    return resources.join(F.broadcast(expected), "media_type").where("root <> expected").select("item_id", "root", "expected")

@@ -15,16 +15,37 @@ DIVIDER = '<div class="ornament">* * *</div>'
 SENTENCE_END = r"[.?!…][\"”’')\]}]*$"
 
 
-def clean_lines(lines: Column) -> Column:
-    """Struct of the ``lines`` without page markers, and without bare numbers if there are ten; counts of both."""
+SECTION = r"^\s*(?:[-*]\s+)?\*\*<u>([0-9]+\.\s+[^<]+)</u>\*\*\s*(.*)$"
+TITLE = r"^\s*\*\*<u>([^<]+)</u>\*\*\s*$"
+UNDERLINED = r"^(#{1,6})\s*<u>(.*?)</u>\s*$"
+
+
+def clean_markdown(value: Column) -> Column:
+    """Struct of the cleaned ``text`` of extracted Markdown and the counts of what went: ``numbers`` and ``markers``.
+
+    Page markers go, and bare numbers if there are ten.  Underlined bold numbered lines become headings, what follows
+    on the line a paragraph; an underlined bold line becomes the title if nothing visible stands before it;
+    underlining of headings goes, as do blanks at line ends and all but two of many empty lines.
+    """
+    lines = F.split(F.replace(value, F.lit("\r\n"), F.lit("\n")), "\n")
     is_number = lambda x: x.rlike(NUMBER)
     is_marker = lambda x: x.rlike(MARKER)
     many = F.size(F.filter(lines, is_number)) >= 10
     kept = F.filter(lines, lambda x: ~is_marker(x) & ~(many & is_number(x)))
+    first = F.array_position(F.transform(kept, lambda x: X.strip(x) != ""), True)
+    heading = lambda x, p: F.concat(F.lit("# "), X.strip(F.regexp_extract(x, p, 1)))
+
+    def line(x: Column, i: Column) -> Column:
+        rest = X.strip(F.regexp_extract(x, SECTION, 2))
+        section = F.when(rest == "", F.array(heading(x, SECTION), F.lit(""))).otherwise(F.array(heading(x, SECTION), F.lit(""), rest, F.lit("")))
+        plain = F.rtrim(F.regexp_replace(x, UNDERLINED, "$1 $2"))
+        return F.when(x.rlike(SECTION), section).when(x.rlike(TITLE) & (i + 1 == first), F.array(heading(x, TITLE), F.lit(""))).otherwise(F.array(plain))
+
+    joined = F.array_join(F.flatten(F.transform(kept, line)), "\n")
     return F.struct(
-        F.transform(kept, F.rtrim).alias("lines"),
-        F.when(many, F.size(F.filter(lines, lambda x: is_number(x) & ~is_marker(x)))).otherwise(0).alias("numbers"),
-        F.size(F.filter(lines, is_marker)).alias("markers"),
+        F.concat(X.strip(F.regexp_replace(joined, "\n{4,}", "\n\n\n")), F.lit("\n")).alias("text"),
+        F.when(many, F.size(F.filter(lines, lambda x: is_number(x) & ~is_marker(x)))).otherwise(0).cast("long").alias("numbers"),
+        F.size(F.filter(lines, is_marker)).cast("long").alias("markers"),
     )
 
 

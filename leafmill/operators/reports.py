@@ -59,3 +59,20 @@ def navigation_entries(elements: DataFrame) -> DataFrame:
     parents = elements.select("pkg", F.col("node").alias("parent"), F.col("name").alias("parent_name"))
     links = elements.where((F.col("name") == "a") & F.col("attributes").getItem("href").isNotNull()).join(parents, ["pkg", "parent"])
     return links.where("parent_name = 'li'").select("pkg", F.col("node").alias("ord"), F.col("attributes").getItem("href").alias("href"), X.collapse(F.col("text")).alias("label"))
+
+
+def unified_diff(before: Column, after: Column, names: tuple[str, str] = ("before", "after")) -> Column:
+    """Unified diff of two texts."""
+
+    def diff(a: str | None, b: str | None) -> str:
+        import difflib
+
+        return "".join(difflib.unified_diff((a or "").splitlines(True), (b or "").splitlines(True), *names))
+
+    return F.udf(diff, "string", useArrow=True)(before, after)
+
+
+def audit_table(patches: DataFrame, key: str) -> DataFrame:
+    """key, markup: rows of applied corrections (key, seq, original, replacement, confidence, reason)."""
+    cells = [F.concat(F.lit("<td>"), X.escape(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</td>")) for c in ("original", "replacement", "confidence", "reason")]
+    return patches.groupBy(key).agg(_ordered("seq", F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")), "").alias("markup"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import urls as U
+from ..operators import pages as P
 from ..operators.chapters import html_chapters
 from ..sources import derived as D
 
@@ -308,24 +309,38 @@ def srcset_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.load(spark, sf_dir, "pages").select(i.alias("id"), F.posexplode(U.srcset(value)).alias("ord", "ref")).withColumn("ord", F.col("ord").cast("long"))
 
 
-@query("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
-m AS (SELECT doc_id, i, CASE WHEN doc_id % 2 = 0 AND i <= 12 THEN CAST(i AS VARCHAR) WHEN i = 13 THEN 'page 1 of 9' WHEN i = 14 THEN '3 of 9' ELSE line END AS line
+_SECTION, _TITLE, _UNDER = (x.replace("'", "''") for x in (P.SECTION, P.TITLE, P.UNDERLINED))
+
+
+@query(rf"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
+m AS (SELECT doc_id, i, CASE WHEN i = 1 AND doc_id % 5 = 0 THEN '  ' WHEN i = 2 THEN '**<u>The title</u>**' WHEN doc_id % 2 = 0 AND i BETWEEN 3 AND 13 THEN CAST(i AS VARCHAR)
+    WHEN i = 14 THEN 'page 1 of 9' WHEN i = 15 THEN '3 of 9' WHEN i = 16 THEN '- **<u>2. Part</u>** and more' WHEN i = 17 THEN '## <u>Sub</u> ' ELSE line END AS line
   FROM (SELECT doc_id, generate_subscripts(a, 1) AS i, unnest(a) AS line FROM d)),
-n AS (SELECT *, count(*) FILTER (WHERE regexp_matches(line, '^\\s*[0-9]{1,4}\\s*$')) OVER (PARTITION BY doc_id) AS numbers FROM m),
-k AS (SELECT *, regexp_matches(line, '(?i)^\\s*[0-9]+\\s+of\\s+[0-9]+\\s*$') AS marker, regexp_matches(line, '^\\s*[0-9]{1,4}\\s*$') AND numbers >= 10 AS number FROM n)
-SELECT doc_id, sha256(coalesce(string_agg(rtrim(line), chr(10) ORDER BY i) FILTER (WHERE NOT marker AND NOT number), '')) AS cleaned_sha,
-  CAST(count(*) FILTER (WHERE number AND NOT marker) AS BIGINT) AS removed_numbers, CAST(count(*) FILTER (WHERE marker) AS BIGINT) AS removed_markers FROM k GROUP BY doc_id""")
+n AS (SELECT *, count(*) FILTER (WHERE regexp_matches(line, '^\s*[0-9]{{1,4}}\s*$')) OVER (PARTITION BY doc_id) AS numbers FROM m),
+k AS (SELECT *, regexp_matches(line, '(?i)^\s*[0-9]+\s+of\s+[0-9]+\s*$') AS marker, regexp_matches(line, '^\s*[0-9]{{1,4}}\s*$') AND numbers >= 10 AS number FROM n),
+v AS (SELECT *, coalesce(min(i) FILTER (WHERE NOT marker AND NOT number AND trim(line) <> '') OVER (PARTITION BY doc_id), 0) AS first FROM k),
+t AS (SELECT doc_id, i, marker, number, CASE
+    WHEN regexp_matches(line, '{_SECTION}') THEN '# ' || trim(regexp_extract(line, '{_SECTION}', 1)) || chr(10) || CASE WHEN trim(regexp_extract(line, '{_SECTION}', 2)) = '' THEN '' ELSE chr(10) || trim(regexp_extract(line, '{_SECTION}', 2)) || chr(10) END
+    WHEN regexp_matches(line, '{_TITLE}') AND i = first THEN '# ' || trim(regexp_extract(line, '{_TITLE}', 1)) || chr(10)
+    ELSE rtrim(regexp_replace(line, '{_UNDER}', '\1 \2')) END AS x FROM v),
+j AS (SELECT doc_id, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT marker AND NOT number), '') AS x, count(*) FILTER (WHERE number AND NOT marker) AS a, count(*) FILTER (WHERE marker) AS b FROM t GROUP BY doc_id)
+SELECT doc_id, sha256({s_strip("regexp_replace(x, '\n{4,}', chr(10) || chr(10) || chr(10), 'g')")} || chr(10)) AS cleaned_sha, CAST(a AS BIGINT) AS removed_numbers, CAST(b AS BIGINT) AS removed_markers FROM j""".replace("\\s", r"\s").replace("\\1", r"\1").replace("\\2", r"\2"))
 def pdf_markdown_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without page markers and line numbers, both being put in."""
-    from ..operators.pages import clean_lines
-
-    even = F.col("doc_id") % 2 == 0
+    """Extracted Markdown cleaned, titles, sections, page markers and line numbers being put in."""
+    k = F.col("doc_id")
     lines = F.transform(
         F.split("text", "\n"),
-        lambda x, i: F.when(even & (i < 12), (i + 1).cast("string")).when(i == 12, "page 1 of 9").when(i == 13, "3 of 9").otherwise(x),
+        lambda x, i: F.when((i == 0) & (k % 5 == 0), "  ")
+        .when(i == 1, "**<u>The title</u>**")
+        .when((k % 2 == 0) & i.between(2, 12), (i + 1).cast("string"))
+        .when(i == 13, "page 1 of 9")
+        .when(i == 14, "3 of 9")
+        .when(i == 15, "- **<u>2. Part</u>** and more")
+        .when(i == 16, "## <u>Sub</u> ")
+        .otherwise(x),
     )
-    done = D.load(spark, sf_dir, "documents").select("doc_id", clean_lines(lines).alias("c"))
-    return done.select("doc_id", F.sha2(F.array_join("c.lines", "\n"), 256).alias("cleaned_sha"), F.col("c.numbers").cast("long").alias("removed_numbers"), F.col("c.markers").cast("long").alias("removed_markers"))
+    done = D.load(spark, sf_dir, "documents").where("text is not null").select("doc_id", P.clean_markdown(F.array_join(lines, "\n")).alias("c"))
+    return done.select("doc_id", F.sha2("c.text", 256).alias("cleaned_sha"), F.col("c.numbers").alias("removed_numbers"), F.col("c.markers").alias("removed_markers"))
 
 
 @query(None)

@@ -175,3 +175,41 @@ def test_navigation_entries(spark):
     rows = spark.createDataFrame([(1, b"<nav><ol><li><a href='x'>  One </a></li></ol><a href='no'>n</a></nav>")], "pkg int, content binary")
     flat = rows.select("pkg", F.inline(scan.xml_flatten(F.col("content"))["rows"]))
     assert [(r["href"], r["label"]) for r in reports.navigation_entries(flat).collect()] == [("x", "One")]
+
+
+def test_markdown_and_docx_become_markup(tmp_path):
+    import io
+
+    from leafmill.sources import markup
+
+    text = "# One *two*\n\nfirst\nline `a<b` ![x](y.png)\n\n- a\n- [b](#c)\n\n1. n\n\n```ts\n<x>\n```\n"
+    assert markup.markdown_html(text) == (
+        '<h1>One <em>two</em></h1>\n<p>first line <code>a&lt;b</code> <img src="y.png" alt="x" /></p>\n<ul><li>a</li><li><a href="#c">b</a></li></ul>\n<ol><li>n</li></ol>\n<pre><code>&lt;x&gt;</code></pre>'
+    )
+    data = io.BytesIO()
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    with zipfile.ZipFile(data, "w") as archive:
+        archive.writestr("word/document.xml", f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>T</w:t></w:r></w:p><w:p><w:r><w:t>a &amp; b</w:t></w:r></w:p></w:body></w:document>')
+    assert markup.docx_html(data.getvalue()) == "<h1>T</h1>\n<p>a &amp; b</p>"
+
+
+@pytest.mark.parametrize("url,want", [("HTTP://[0:0::1]:80/%7Ea/../b%2f?x y", "http://[::1]/b%2F?x%20y"), ("https://EXAMPLE.com.:444", "https://example.com:444/"), ("http://u:p@h/%zz", "http://u:p@h/%25zz")])
+def test_canonical_urls(url, want):
+    from leafmill.functions import urls_full
+
+    assert urls_full.canonical(url) == want
+
+
+def test_alias_closure_and_scopes(spark):
+    edges = spark.createDataFrame([(f"a{i}", f"a{i - 1}") for i in range(1, 30)] + [("x", "y"), ("y", "x")], "name string, target string")
+    got = package.alias_closure(edges, spark.createDataFrame([("a0",)], "name string"), keep)
+    assert got.count() == 30
+    uses = spark.createDataFrame([(1, "n", ["g", "f", "b"]), (2, "n", ["g"])], "use int, name string, path array<string>")
+    bound = spark.createDataFrame([("g", "n"), ("f", "n")], "scope string, name string")
+    assert {r["use"]: r["scope"] for r in package.nearest_bindings(uses, bound).collect()} == {1: "f", 2: "g"}
+
+
+def test_diff_and_audit(spark):
+    frame = spark.createDataFrame([(1, 0, "a\nb\n", "a\nc\n", "b", "c", 0.9, "typo")], "id int, seq int, x string, y string, original string, replacement string, confidence double, reason string")
+    assert "-b\n+c\n" in frame.select(reports.unified_diff(F.col("x"), F.col("y")).alias("d")).first()["d"]
+    assert reports.audit_table(frame, "id").first()["markup"] == "<tr><td>b</td><td>c</td><td>0.9</td><td>typo</td></tr>"
