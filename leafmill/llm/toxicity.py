@@ -150,29 +150,34 @@ def _distinct(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def fit(
-    labelled: DataFrame,
+    documents: DataFrame,
+    labels: DataFrame,
     categories: dict[str, Column],
     text: str = "text",
+    key: str = "doc_id",
     rows_per_class: int = 5000,
     most_words: int = 2000,
     folds: int = 5,
     seed: int = 29,
 ) -> list[Link]:
-    """Fit a chain in the order of ``categories`` (name -> 0/1 column).
+    """Fit a chain in the order of ``categories`` (name -> 0/1 column of ``labels``).
 
-    About ``rows_per_class`` rows with and without the last category are used, whole texts, chosen by a hash of the
-    text (a documented bound on the labelled sample) and weighted to keep their shares; near copies among them count
-    once.  The model holds at most ``most_words`` words per category.  Rows with a null label or text teach nothing.
+    About ``rows_per_class`` labels with and without the last category are used, chosen by a hash of their key (a
+    documented bound on the labelled sample) and weighted to keep their shares.  That few labels are broadcast to
+    the documents, of which only those rows go on, as features of their whole texts; near copies among them count
+    once.  The model holds at most ``most_words`` words per category.  Null labels, keys and texts
+    teach nothing; labels of one key count once, the larger ones.
     """
-    marked = labelled.select(F.col(f"`{text}`").alias("text"), *[c.cast("double").alias(f"y{i}") for i, c in enumerate(categories.values())]).dropna()
+    marked = labels.select(F.col(f"`{key}`").alias("key"), *[c.cast("double").alias(f"y{i}") for i, c in enumerate(categories.values())]).dropna()
+    names = [f"y{i}" for i in range(len(categories))]
+    marked = marked.groupBy("key").agg(*[F.max(n).alias(n) for n in names])
     last = f"y{len(categories) - 1}"
     sizes = {r[0]: r[1] for r in marked.groupBy(last).agg(F.count("*")).collect()}
-    draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30))
     share = {k: min(1.0, rows_per_class / n) for k, n in sizes.items()}
     bound = F.lit(0)
     for k, s in share.items():
         bound = F.when(F.col(last) == k, F.lit(int(s * (1 << 30)))).otherwise(bound)
-    names = [f"y{i}" for i in range(len(categories))]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +186,9 @@ def fit(
             lists = pa.ListArray.from_arrays(begins, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([lists, *batch.columns[1:]], names=["words", *names])
 
-    got = marked.where(draw < bound).mapInArrow(features, f"words array<long>, {', '.join(f'{n} double' for n in names)}").toArrow()
+    texts = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where("text is not null")
+    drawn = texts.join(F.broadcast(marked.where(draw < bound)), "key").select("text", *names)
+    got = drawn.mapInArrow(features, f"words array<long>, {', '.join(f'{n} double' for n in names)}").toArrow()
     lists = got.column(0).combine_chunks()
     flat, begins = lists.values.to_numpy(), lists.offsets.to_numpy()
     sets = [flat[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)]
@@ -259,7 +266,6 @@ def classify(documents: DataFrame, chain: list[Link], text: str = "text") -> Dat
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, by way of its quality."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    labelled = load(spark, sf_dir, "labels").join(docs, "doc_id")
-    chain = fit(labelled, {"low_quality": (F.col("quality") == 0).cast("int"), "toxic": F.col("toxic")})
+    chain = fit(docs, load(spark, sf_dir, "labels"), {"low_quality": (F.col("quality") == 0).cast("int"), "toxic": F.col("toxic")})
     out = classify(docs, chain)
     return out.select("doc_id", F.col("p_low_quality"), F.col("is_low_quality").alias("low_quality"), F.col("p_toxic"), F.col("is_toxic").alias("toxic"))

@@ -110,7 +110,7 @@ def test_toxicity_chain_on_planted_documents(spark):
             text[25] = "rotten"
         rows.append((i, " ".join(text), 1 - toxic, toxic))
     labelled = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
-    chain = toxicity.fit(labelled, {"low_quality": (F.col("quality") == 0).cast("int"), "toxic": F.col("toxic")})
+    chain = toxicity.fit(labelled, labelled, {"low_quality": (F.col("quality") == 0).cast("int"), "toxic": F.col("toxic")})
     assert chain[1].earlier.shape == (1,)
     fresh = spark.createDataFrame([(1, "so VILEish and rotten"), (2, " ".join(words[:50])), (3, None), (4, "")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in toxicity.classify(fresh, chain).collect()}

@@ -24,7 +24,7 @@ def test_empty_tables(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string"), urlfilter.op9_rules(spark)).count() == 0
     model = language.fit(spark.createDataFrame([], "doc_id long, lang string, text string"))
     assert language.identify(docs, model).count() == 0
-    chain = toxicity.fit(spark.createDataFrame([], "doc_id long, text string, toxic int"), {"toxic": F.col("toxic")})
+    chain = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, text string, toxic int"), {"toxic": F.col("toxic")})
     assert toxicity.classify(docs, chain).count() == 0
     full = documents(spark, [(1, "some words here")])
     assert decontaminate.decontaminate(full, items).first()["decon_items"] == []
