@@ -79,30 +79,42 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int, tuples: int, width: int)
             )
 
 
-#: Bins of the one-permutation sketch: the first hash of each 1/256 of the hash range.
-BINS = 256
-_BOUNDS = np.arange(BINS, dtype=np.uint64) << _U(56)
+#: Parts of the hash range in which a profile counts shingles.
+PARTS = 256
+_FULL = 65535
 
 
-def sketch(shingles: np.ndarray) -> bytes:
-    """One byte per bin of a sorted set: 0 for an empty bin, else 1 to 255 from its least hash."""
-    at = np.searchsorted(shingles, _BOUNDS)
-    ends = np.append(at[1:], len(shingles))
-    out = np.zeros(BINS, np.uint8)
-    full = at < ends
-    out[full] = (W.mix(shingles[at[full]]) % _U(255)).astype(np.uint8) + 1
-    return out.tobytes()
+def part_counts(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles of a set fall into each part."""
+    return np.minimum(np.bincount((shingles >> _U(56)).astype(np.int64), minlength=PARTS), _FULL).astype("<u2")
 
 
-def _alike(batches: Iterator[pa.RecordBatch], share: float, sigmas: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of rows (a, b, sketch of a, sketch of b) that may reach a similarity of ``share``."""
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of rows (node, set_lo, most, counts, alone) less the parts of shingles that stand alone."""
+    for batch in batches:
+        own = []
+        for counts, alone in zip(batch.column(3), batch.column(4), strict=True):
+            left = np.frombuffer(counts.as_py(), "<u2")
+            if alone.is_valid:
+                lost = np.bincount(alone.values.to_numpy(), minlength=PARTS)
+                left = np.where(left == _FULL, _FULL, left - np.minimum(lost, left)).astype("<u2")
+            own.append(left.tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.binary())], names=["node", "set_lo", "most", "profile"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of rows (a, b, n1, n2, profile of a, profile of b) whose intersection can be large enough.
+
+    Two sets share at most the smaller count of each part, which bounds the intersection from above.
+    """
     for batch in batches:
         if not len(batch):
             continue
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
-        bins = ((x > 0) | (y > 0)).sum(axis=1)
-        same = ((x == y) & (x > 0)).sum(axis=1)
-        good = same >= share * bins - sigmas * np.sqrt(share * (1 - share) * bins)
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, PARTS) for i in (4, 5))
+        low = np.minimum(x, y)
+        most = low.sum(axis=1, dtype=np.int64)
+        total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        good = ((100 + percent) * most >= percent * total) | (low == _FULL).any(axis=1)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
 
@@ -115,23 +127,20 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             values = pa.array(np.concatenate(sets).view(np.int64))
             ids = [int.from_bytes(xxhash.xxh3_128_digest(x.tobytes())[:8], "little", signed=True) for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(begins, values), pa.array([sketch(x) for x in sets], pa.binary())],
-                names=["node", "set_lo", "shingles", "sketch"],
+                [batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(begins, values), pa.array([part_counts(x).tobytes() for x in sets], pa.binary())],
+                names=["node", "set_lo", "shingles", "counts"],
             )
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose full sets are similar enough.
-
-    Pairs whose sketches differ by more than 4.2 standard deviations from what the threshold would give are not
-    compared (a pair at the threshold is lost with probability 0.00002), so sets travel only for likely links.
-    """
-    side = lambda k, column, name: sets.select(F.col("node").alias(k), F.col(column).alias(name))
-    likely = pairs.join(side("a", "sketch", "s"), "a").join(side("b", "sketch", "t"), "b").select("a", "b", "s", "t")
-    likely = cut(likely.mapInArrow(partial(_alike, share=percent / 100, sigmas=4.2), "a long, b long"))
+def _linked(pairs: DataFrame, sets: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose full sets are similar enough; sets travel only where profiles allow a link."""
+    side = lambda k, x, n: profiles.select(F.col("node").alias(k), F.col("n").alias(n), F.col("profile").alias(x))
+    met = pairs.join(side("a", "x", "n1"), "a").join(side("b", "y", "n2"), "b").select("a", "b", "n1", "n2", "x", "y")
+    likely = cut(met.mapInArrow(partial(_alike, percent=percent), "a long, b long").distinct())
+    full = lambda k, x: sets.select(F.col("node").alias(k), F.col("shingles").alias(x))
     both = F.size(F.array_intersect("x", "y"))
-    met = likely.join(side("a", "shingles", "x"), "a").join(side("b", "shingles", "y"), "b")
-    return met.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+    compared = likely.join(full("a", "x"), "a").join(full("b", "y"), "b")
+    return compared.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
 def near_duplicates(
@@ -142,7 +151,7 @@ def near_duplicates(
     percent: int = 80,
     tuples: int = 12,
     width: int = 2,
-    star_rounds: int = 2,
+    star_rounds: int = 3,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``documents``.
 
@@ -193,20 +202,24 @@ def near_duplicates(
     alive = tables.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
     nodes = cut(tables.join(alive, "bucket").groupBy("node", "n", "set_lo").agg(F.collect_list(F.struct("bucket", "at")).alias("buckets")))
     named = nodes.select(F.col("node").alias("doc_id")).distinct()
-    sets = rows.join(named, "doc_id", "left_semi").mapInArrow(partial(_sets, size=shingle), "node long, set_lo long, shingles array<long>, sketch binary")
-    sets = cut(sets.dropDuplicates(["node", "set_lo"]))
+    sets = rows.join(named, "doc_id", "left_semi").mapInArrow(partial(_sets, size=shingle), "node long, set_lo long, shingles array<long>, counts binary")
+    sets = cut(sets)
     # Shingles that no other candidate has can be in no intersection: ``most`` bounds every intersection of a set.
     held = sets.select("set_lo", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("set_lo").alias("a"), F.max("set_lo").alias("b"))
-    alone = held.where("a = b").groupBy(F.col("a").alias("set_lo")).agg(F.count("*").alias("alone"))
+    alone = held.where("a = b").groupBy(F.col("a").alias("set_lo")).agg(F.collect_list(F.shiftrightunsigned("shingle", 56).cast("short")).alias("alone"))
+    weighed = sets.select("node", "set_lo", F.size("shingles").alias("n"), "counts").join(alone, "set_lo", "left")
+    weighed = weighed.withColumn("most", F.col("n") - F.greatest(F.size("alone"), F.lit(0))).where(100 * F.col("most") >= percent * F.col("n"))
+    profiles = cut(weighed.select("node", "set_lo", F.col("most").cast("long"), "counts", "alone").mapInArrow(_profiles, "node long, set_lo long, most long, profile binary"))
+    bound = profiles.select("set_lo", "node", "most").distinct()
     ints = F.concat(*[F.transform(c, lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")) for c in ("u", "v")]).alias("halves")
-    nodes = nodes.join(alone, "set_lo", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-    nodes = cut(nodes.where(100 * F.col("most") >= percent * F.col("n")).join(classes.select("set_lo", "node", ints), ["set_lo", "node"]))
+    nodes = cut(nodes.join(bound, ["set_lo", "node"]).join(classes.select("set_lo", "node", ints), ["set_lo", "node"]))
+    profiles = cut(profiles.select("node", "set_lo", "profile").distinct().join(nodes.select("node", "set_lo", "n"), ["node", "set_lo"]).select("node", "n", "profile"))
 
     links, label = None, None
     for turn in range(star_rounds + 1):
         live = _labelled(nodes, label)
         pairs = _stars(live, turn, percent) if turn < star_rounds else _rest(live, percent, tuples)
-        found = _linked(pairs, sets, percent)
+        found = _linked(pairs, sets, profiles, percent)
         links = cut(found if links is None else links.unionByName(found))
         label = connected_components(links)
         if turn < star_rounds:
@@ -229,22 +242,20 @@ def _labelled(nodes: DataFrame, label: DataFrame | None) -> DataFrame:
 
 
 def _may_link(n1: str, most1: str, n2: str, most2: str, percent: int) -> F.Column:
-    """Whether the sizes of two sets, and of what each can share, allow a link."""
+    """Whether the sizes of two sets, and how many shingles each has that any other candidate has, allow a link."""
     return (100 + percent) * F.least(most1, most2) >= percent * (F.col(n1) + F.col(n2))
 
 
 def _stars(live: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs of a class and the hub of a bucket of several components; in the first turn only its least hub."""
+    """Pairs of a class and the least hub, in this turn's order, of its buckets with several components."""
     rank = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
     hubs = live.groupBy("bucket").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(rank.alias("rank"), "node", "label", "n", "most")).alias("hub")
     )
-    hubs = hubs.where("lo < hi").select("bucket", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "label", "n", "most")])
-    met = live.drop("halves", "at").join(hubs, "bucket").where("label <> hub_label").where(_may_link("n", "most", "hub_n", "hub_most", percent))
-    met = met.select(F.col("node").alias("a"), F.col("hub_node").alias("b"))
-    if turn:
-        return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return met.groupBy("a").agg(F.min("b").alias("b"))
+    hubs = hubs.where("lo < hi")
+    met = live.drop("halves", "at").join(hubs, "bucket").where("label <> hub.label")
+    met = met.where((100 + percent) * F.least("most", "hub.most") >= percent * (F.col("n") + F.col("hub.n")))
+    return met.groupBy(F.col("node").alias("a")).agg(F.min(F.struct("hub.rank", "hub.node"))["node"].alias("b"))
 
 
 def _rest(live: DataFrame, percent: int, tuples: int) -> DataFrame:
