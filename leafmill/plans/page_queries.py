@@ -179,14 +179,30 @@ def rect_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {D.SPANS} SELECT doc_id, line, arg_max(pos, (length({s_strip('text')}), -pos)) AS pos, arg_max(text, (length({s_strip('text')}), -pos)) AS text FROM spans GROUP BY doc_id, line")
 def longest_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Main spans of lines."""
+    """Main spans of the first three lines, as the SQL has it."""
+    return L.main_spans(D.first_spans(spark, sf_dir))
+
+
+@query(f"WITH {D.WHOLE_SPANS} SELECT doc_id, line, arg_max(pos, (length({s_strip('text')}), -pos)) AS pos, arg_max(text, (length({s_strip('text')}), -pos)) AS text FROM spans GROUP BY doc_id, line")
+def longest_span_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main spans of all lines."""
     return L.main_spans(D.spans(spark, sf_dir))
 
 
+def _styled(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("doc_id").agg(F.bool_or(F.col("flags").bitwiseAND(F.lit(19)) != 0).alias("styled"))
+
+
 @query(f"WITH {D.SPANS} SELECT doc_id, bool_or((flags & 19) <> 0) AS styled FROM spans WHERE pos < 2 GROUP BY doc_id")
 def styled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with styled spans."""
-    return D.spans(spark, sf_dir).where("pos < 2").groupBy("doc_id").agg(F.bool_or(F.col("flags").bitwiseAND(F.lit(19)) != 0).alias("styled"))
+    """Documents with styled spans among the first two words of the first three lines, as the SQL has it."""
+    return _styled(D.first_spans(spark, sf_dir).where("pos < 2"))
+
+
+@query(f"WITH {D.WHOLE_SPANS} SELECT doc_id, bool_or((flags & 19) <> 0) AS styled FROM spans GROUP BY doc_id")
+def styled_pages_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with styled spans anywhere."""
+    return _styled(D.spans(spark, sf_dir))
 
 
 @query("SELECT conv_id, turn, (SELECT max(b.turn) FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn < a.turn AND b.role = 'user') AS previous FROM conversations a")

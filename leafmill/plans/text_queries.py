@@ -217,10 +217,20 @@ def s_markup(x: str, flags: str) -> str:
     return out
 
 
+def _inline_markup(spans: DataFrame) -> DataFrame:
+    return spans.select("doc_id", "line", "pos", X.inline_markup(F.col("text"), F.col("flags")).alias("markup"))
+
+
 @query(f"WITH {D.SPANS} SELECT doc_id, line, pos, {s_markup('text', 'flags')} AS markup FROM spans")
 def inline_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markup of styled spans."""
-    return D.spans(spark, sf_dir).select("doc_id", "line", "pos", X.inline_markup(F.col("text"), F.col("flags")).alias("markup"))
+    """Markup of styled spans in the first three lines, as the SQL has it."""
+    return _inline_markup(D.first_spans(spark, sf_dir))
+
+
+@query(f"WITH {D.WHOLE_SPANS} SELECT doc_id, line, pos, {s_markup('text', 'flags')} AS markup FROM spans")
+def inline_markup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markup of all styled spans."""
+    return _inline_markup(D.spans(spark, sf_dir))
 
 
 @query(r"SELECT doc_id, regexp_matches(text || CASE doc_id % 5 WHEN 0 THEN chr(65533) WHEN 1 THEN chr(11) WHEN 2 THEN chr(9) ELSE '' END, '[\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F]') AS bad FROM documents")

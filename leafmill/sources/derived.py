@@ -82,9 +82,8 @@ _FONTS = (".VnTime", ".VnTimeH", "Times", "Times-Bold", ".VnArial")
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of lines as styled spans: doc_id, line, pos, text, font, flags."""
-    lines = blocks(spark, sf_dir).where("pos < 3")
-    words = lines.select("doc_id", F.col("pos").alias("line"), F.posexplode(F.split("block", " ")).alias("pos", "text")).withColumn("pos", F.col("pos").cast("long"))
+    """All words of all lines as styled spans: doc_id, line, pos, text, font, flags."""
+    words = blocks(spark, sf_dir).select("doc_id", F.col("pos").alias("line"), F.posexplode(F.split("block", " ")).alias("pos", "text")).withColumn("pos", F.col("pos").cast("long"))
     font = F.element_at(F.array(*[F.lit(f) for f in _FONTS]), (F.col("pos") % 5 + 1).cast("int"))
     return words.withColumn("font", font).withColumn("flags", (F.col("pos") * 7 + F.col("doc_id")) % 32)
 
@@ -93,6 +92,15 @@ SPANS = f"""{BLOCKS}, spans AS (SELECT doc_id, line, pos, text, {list(_FONTS)!r}
   FROM (SELECT doc_id, pos AS line, CAST(generate_subscripts(w, 1) - 1 AS BIGINT) AS pos, unnest(w) AS text FROM (SELECT doc_id, pos, string_split(block, ' ') AS w FROM blocks WHERE pos < 3)))"""
 
 
+def first_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of the first three lines only, as ``SPANS`` has them."""
+    return spans(spark, sf_dir).where("line < 3")
+
+
+WHOLE_SPANS = f"""{BLOCKS}, spans AS (SELECT doc_id, line, pos, text, {list(_FONTS)!r}[pos % 5 + 1] AS font, (pos * 7 + doc_id) % 32 AS flags
+  FROM (SELECT doc_id, pos AS line, CAST(generate_subscripts(w, 1) - 1 AS BIGINT) AS pos, unnest(w) AS text FROM (SELECT doc_id, pos, string_split(block, ' ') AS w FROM blocks)))"""
+
+
 def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with active markup, an unsafe link or a remote image added: page_id, url, html."""
     k = F.col("page_id") % 4
