@@ -59,6 +59,30 @@ def chains(items: DataFrame, roots: DataFrame, most_hops: int, checkpoint=lambda
     return out
 
 
+def whole_chains(items: DataFrame, roots: DataFrame, checkpoint=lambda f: f.checkpoint(), most_steps: int | None = None) -> DataFrame:
+    """root, hop, item_id: the fallbacks from each root until none follows or an item comes again, by pointer doubling.
+
+    After ``k`` rounds a chain has its first ``2**k`` items; the next as many are those that the pointers of
+    ``2**k`` jumps reach from them.  An item met again keeps its least hop; a round without new items is the last.
+    More than ``most_steps`` rows are an error.
+    """
+    known = items.select(F.col("item_id").alias("next")).distinct()
+    jump = items.where("fallback is not null").select(F.col("item_id").alias("at"), F.col("fallback").alias("next")).join(known, "next", "left_semi").select("at", "next")
+    out = roots.select(F.col("item_id").alias("root"), F.lit(0).cast("long").alias("hop"), "item_id").distinct()
+    total, jumps = out.count(), 1
+    while True:
+        if most_steps is not None and total > most_steps:
+            raise RuntimeError(f"fallback chains take {total} steps, more than {most_steps}")
+        more = out.join(jump, F.col("item_id") == F.col("at")).select("root", (F.col("hop") + jumps).alias("hop"), F.col("next").alias("item_id"))
+        out = checkpoint(out.unionByName(more).groupBy("root", "item_id").agg(F.min("hop").alias("hop")).select("root", "hop", "item_id"))
+        now = out.count()
+        if now == total:
+            return out
+        total, jumps = now, jumps * 2
+        further = jump.select(F.col("at").alias("next"), F.col("next").alias("last"))
+        jump = checkpoint(jump.join(further, "next").select("at", F.col("last").alias("next")))
+
+
 def without_supported(chain: DataFrame, items: DataFrame, supported: list[str]) -> DataFrame:
     """Roots of chains in which no item has a supported media type."""
     typed = chain.join(items.select("item_id", "media_type"), "item_id")

@@ -62,17 +62,35 @@ def _spine_chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 @query(f"WITH RECURSIVE {_CHAIN} SELECT root, hop, item_id FROM walk")
 def spine_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fallback chains of spine items, five hops deep."""
+    """Fallback chains of every tenth item, five hops deep, circles run on, as the SQL has it."""
     return _spine_chains(spark, sf_dir)[1]
 
 
+_WHOLE_CHAIN = f"""{D.ITEMS}, walk AS (SELECT item_id AS root, CAST(0 AS BIGINT) AS hop, item_id, [item_id] AS seen FROM items
+  UNION ALL SELECT root, hop + 1, b.item_id, list_append(seen, b.item_id) FROM walk JOIN items a ON a.item_id = walk.item_id JOIN items b ON b.item_id = a.fallback WHERE NOT list_contains(seen, b.item_id))"""
+
+
+@query(f"WITH RECURSIVE {_WHOLE_CHAIN} SELECT root, hop, item_id FROM walk")
+def spine_chains_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fallback chains of all items until they end or meet an item again."""
+    items = D.items(spark, sf_dir)
+    return P.whole_chains(items, items, keep)
+
+
 @query(f"WITH RECURSIVE {_CHAIN} SELECT root AS item_id FROM walk JOIN items USING (item_id) GROUP BY root HAVING NOT bool_or(media_type IN ('application/xhtml+xml'))")
 def spine_no_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spine items whose chain has no content document."""
+    """Every tenth item, if its chain has no content document in five hops, as the SQL has it."""
     items, chain = _spine_chains(spark, sf_dir)
     return P.without_supported(chain, items, ["application/xhtml+xml"])
 
 
+@query(f"WITH RECURSIVE {_WHOLE_CHAIN} SELECT root AS item_id FROM walk JOIN items USING (item_id) GROUP BY root HAVING NOT bool_or(media_type IN ('application/xhtml+xml'))")
+def spine_no_supported_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose whole chain has no content document."""
+    items = D.items(spark, sf_dir)
+    return P.without_supported(P.whole_chains(items, items, keep), items, ["application/xhtml+xml"])
+
+
 _NAV = "nav AS (SELECT item_id, path, '#f' || item_id % 3 AS tail, 'f' || item_id % 3 AS fragment, path || '#f' || item_id % 3 AS href FROM items WHERE item_id % 2 = 0)"
 
 

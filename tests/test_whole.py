@@ -3,6 +3,8 @@
 import pytest
 
 import leafmill.catalogue as catalogue
+from leafmill.operators import package
+from leafmill.plans.checkpoints import keep
 
 
 @pytest.fixture
@@ -22,3 +24,19 @@ def test_styles_of_late_words_count(spark, tmp_path):
     spark.createDataFrame([(4, "a"), (36, "a\nb\nc\nd"), (68, "a b c d e")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["styled"] for r in catalogue.QUERIES["styled_pages_whole"](spark, str(tmp_path)).collect()}
     assert got == {4: False, 36: False, 68: True}
+
+
+def test_chains_to_their_end_and_once_round_circles(spark):
+    """Item 0 leads to 21; 100 to 103 are a circle with the tail 99; only 21 is supported."""
+    rows = [(i, i + 1 if i < 21 else None) for i in range(22)] + [(99, 100), (100, 101), (101, 102), (102, 103), (103, 100), (200, 999)]
+    items = spark.createDataFrame(rows, "item_id long, fallback long").selectExpr("*", "if(item_id = 21, 'ok', 'no') AS media_type")
+    chain = package.whole_chains(items, items, keep)
+    got = {}
+    for r in chain.orderBy("root", "hop").collect():
+        got.setdefault(r["root"], []).append((r["hop"], r["item_id"]))
+    want = {i: list(enumerate(range(i, 22))) for i in range(22)} | {200: [(0, 200)]}
+    want |= {99: list(enumerate([99, 100, 101, 102, 103]))} | {100 + i: list(enumerate(100 + (i + j) % 4 for j in range(4))) for i in range(4)}
+    assert got == want
+    assert {r["item_id"] for r in package.without_supported(chain, items, ["ok"]).collect()} == {99, 100, 101, 102, 103, 200}
+    with pytest.raises(RuntimeError, match="steps"):
+        package.whole_chains(items, items, keep, most_steps=100)
