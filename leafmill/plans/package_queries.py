@@ -167,10 +167,21 @@ def zip_name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT pkg, count(*) FILTER (WHERE types = 'toc') AS n_toc, count(*) FILTER (WHERE types = 'page-list x') AS n_pages, count(*) FILTER (WHERE types = 'landmarks') AS n_landmarks,
   n_toc = 1 AND n_pages <= 1 AND n_landmarks <= 1 AS ok FROM n GROUP BY pkg""")
 def nav_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Navigation elements of packages."""
+    """Navigation elements of packages among the first thirty items, as the SQL has it."""
+    return P.navigation_counts(D.items(spark, sf_dir).where("item_id <= 30").select((F.col("item_id") % 7).alias("pkg"), _types().alias("types")))
+
+
+def _types() -> F.Column:
     k = F.col("item_id") % 4
-    types = F.when(k == 0, "toc").when(k == 1, "page-list x").when(k == 2, "landmarks").otherwise("other")
-    return P.navigation_counts(D.items(spark, sf_dir).where("item_id <= 30").select((F.col("item_id") % 7).alias("pkg"), types.alias("types")))
+    return F.when(k == 0, "toc").when(k == 1, "page-list x").when(k == 2, "landmarks").otherwise("other")
+
+
+@query(f"""WITH {D.ITEMS}, n AS (SELECT item_id // 5 AS pkg, CASE item_id % 4 WHEN 0 THEN 'toc' WHEN 1 THEN 'page-list x' WHEN 2 THEN 'landmarks' ELSE 'other' END AS types FROM items)
+SELECT pkg, count(*) FILTER (WHERE types = 'toc') AS n_toc, count(*) FILTER (WHERE types = 'page-list x') AS n_pages, count(*) FILTER (WHERE types = 'landmarks') AS n_landmarks,
+  n_toc = 1 AND n_pages <= 1 AND n_landmarks <= 1 AS ok FROM n GROUP BY pkg""")
+def nav_cardinality_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Navigation elements of packages of five items each, all items included."""
+    return P.navigation_counts(D.items(spark, sf_dir).select(F.expr("item_id div 5").alias("pkg"), _types().alias("types")))
 
 
 @query("""WITH r AS (SELECT doc_id % 50 AS pkg, doc_id % 400 AS path, max(strlen(text)) AS bytes FROM documents WHERE text IS NOT NULL GROUP BY ALL)

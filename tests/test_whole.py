@@ -40,3 +40,10 @@ def test_chains_to_their_end_and_once_round_circles(spark):
     assert {r["item_id"] for r in package.without_supported(chain, items, ["ok"]).collect()} == {99, 100, 101, 102, 103, 200}
     with pytest.raises(RuntimeError, match="steps"):
         package.whole_chains(items, items, keep, most_steps=100)
+
+
+def test_navigation_of_all_items_is_counted(spark, tmp_path):
+    spark.range(1, 1001).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = catalogue.QUERIES["nav_cardinality_whole"](spark, str(tmp_path)).collect()
+    assert len(got) == 201 and sum(r["n_toc"] + r["n_pages"] + r["n_landmarks"] for r in got) == 750
+    assert {r["ok"] for r in got} == {True, False}
