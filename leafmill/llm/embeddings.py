@@ -2,7 +2,8 @@
 
 Rotations of the principal axes are learnt so that the signs of a vector's coordinates form balanced binary codes.
 The codes are cut into substrings, each the key of one table; vectors that share a key are compared by their
-original components.  Tables are as many as a pair at the threshold needs to share one with probability ``recall``.
+original components.  Tables are as many as a pair at the threshold needs to share one with probability ``recall``,
+by the angle of such a pair and by pairs made from the sample, as centring widens angles where vectors share a direction.
 """
 
 from __future__ import annotations
@@ -30,9 +31,13 @@ class Codes:
     tables: int
 
     def keys(self, x: np.ndarray) -> np.ndarray:
-        """Table keys of unit vectors, one row each."""
-        signs = (x - self.mean) @ self.project > 0
-        return signs.reshape(len(x), self.tables, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
+        """Table keys of unit vectors, one row each, a few million signs at a time."""
+        out = np.zeros((len(x), self.tables), np.int64)
+        step = max(1, (1 << 22) // self.project.shape[1])
+        for lo in range(0, len(x), step):
+            signs = (x[lo : lo + step] - self.mean) @ self.project > 0
+            out[lo : lo + step] = signs.reshape(len(signs), self.tables, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
+        return out
 
 
 def learn_rotation(x: np.ndarray, seed: int, rounds: int = 30) -> np.ndarray:
@@ -53,6 +58,29 @@ def plan_tables(rows: int, cosine: float, recall: float, bucket: int = 16) -> tu
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
 
 
+#: Where centred codes need more than so many times the tables of the plan, random ones through the origin are taken.
+WIDENED = 8
+
+
+def threshold_pairs(x: np.ndarray, cosine: float, seed: int, most: int = 4000) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Up to ``most`` unit vectors of ``x`` and partners at ``cosine``: moved in any direction, and as ``x`` itself varies."""
+    rng = np.random.default_rng(seed)
+    a = x[rng.permutation(len(x))[:most]]
+    out = []
+    for move in (rng.standard_normal(a.shape), x[rng.integers(len(x), size=len(a))] - x[rng.integers(len(x), size=len(a))]):
+        move = move - (move * a).sum(axis=1, keepdims=True) * a
+        size = np.linalg.norm(move, axis=1, keepdims=True)
+        some = size[:, 0] > 1e-6
+        if some.any():
+            out.append((a[some], cosine * a[some] + math.sqrt(1 - cosine**2) * move[some] / size[some]))
+    return out
+
+
+def found_share(codes: Codes, pairs: list[tuple[np.ndarray, np.ndarray]]) -> float:
+    """Share of pairs that have a key in common, the least of the kinds of pairs."""
+    return min([float((codes.keys(a) == codes.keys(b)).any(axis=1).mean()) for a, b in pairs], default=1.0)
+
+
 def unit(batch: np.ndarray) -> np.ndarray:
     return batch / np.linalg.norm(batch, axis=1, keepdims=True)
 
@@ -70,15 +98,29 @@ def fit(vectors: DataFrame, rows: int, cosine: float, recall: float, sample: int
     bits, tables = plan_tables(rows, cosine, recall)
     mean = x.mean(axis=0)
     axes = np.linalg.svd(x - mean, full_matrices=True)[2].T if len(x) <= x.shape[1] else np.linalg.eigh(np.cov((x - mean).T))[1][:, ::-1]
-    per_rotation = max(1, x.shape[1] // bits)
-    project = []
-    turn = 0
-    while sum(p.shape[1] for p in project) < bits * tables:
-        rotation = axes @ learn_rotation((x - mean) @ axes, seed + turn)
-        width = x.shape[1]
-        project.append(rotation[:, : per_rotation * bits] if width >= bits else np.tile(rotation, (1, -(-bits // width)))[:, :bits])
-        turn += 1
-    return Codes(mean, np.concatenate(project, axis=1)[:, : bits * tables], bits, tables)
+    pairs = threshold_pairs(x, cosine, seed)
+    centred = _grow(lambda turn: axes @ learn_rotation((x - mean) @ axes, seed + turn), mean, bits, tables, pairs, recall, WIDENED * tables)
+    if centred is not None:
+        return centred
+    width = x.shape[1]
+    return _grow(lambda turn: np.linalg.qr(np.random.default_rng(seed + turn).standard_normal((width, width)))[0], np.zeros(width), bits, tables, pairs, recall)
+
+
+def _grow(rotate, mean: np.ndarray, bits: int, tables: int, pairs: list, recall: float, most: int | None = None) -> Codes | None:
+    """Codes of ``tables`` tables and as many more as it takes to find ``recall`` of the pairs; none if more than ``most``."""
+    width = len(mean)
+    per_rotation = max(1, width // bits)
+    project: list[np.ndarray] = []
+    while True:
+        while sum(p.shape[1] for p in project) < bits * tables:
+            rotation = rotate(len(project))
+            project.append(rotation[:, : per_rotation * bits] if width >= bits else np.tile(rotation, (1, -(-bits // width)))[:, :bits])
+        codes = Codes(mean, np.concatenate(project, axis=1)[:, : bits * tables], bits, tables)
+        if found_share(codes, pairs) >= recall:
+            return codes
+        tables += max(1, tables // 8)
+        if most is not None and tables > most:
+            return None
 
 
 def _vectors(batch: pa.RecordBatch, at: int) -> np.ndarray:
@@ -103,8 +145,9 @@ def compare_groups(ids: np.ndarray, x: np.ndarray, weight: np.ndarray, block: np
     keys = np.zeros((len(ids), codes.tables), np.int64)
     keys[member] = codes.keys(x[member])
     first = np.empty(len(a), np.int64)
-    for lo in range(0, len(a), 50_000):
-        part = slice(lo, lo + 50_000)
+    step = min(50_000, max(1, 2_500_000 // codes.tables))
+    for lo in range(0, len(a), step):
+        part = slice(lo, lo + step)
         first[part] = (keys[a[part]] == keys[b[part]]).argmax(axis=1)
     new = first == table
     links = np.bincount(a[new], weights=weight[b[new]], minlength=len(ids)).astype(np.int64)

@@ -1,8 +1,10 @@
 """Queries that must cover whole inputs, on inputs longer than any prefix."""
 
+import numpy as np
 import pytest
 
 import leafmill.catalogue as catalogue
+from leafmill.llm import embeddings
 from leafmill.operators import package
 from leafmill.plans.checkpoints import keep
 
@@ -47,3 +49,21 @@ def test_navigation_of_all_items_is_counted(spark, tmp_path):
     got = catalogue.QUERIES["nav_cardinality_whole"](spark, str(tmp_path)).collect()
     assert len(got) == 201 and sum(r["n_toc"] + r["n_pages"] + r["n_landmarks"] for r in got) == 750
     assert {r["ok"] for r in got} == {True, False}
+
+
+@pytest.mark.parametrize("common,rows", [(0.0, 20_000), (0.6, 1_000_000), (0.8, 1_000_000), (0.95, 20_000)])
+def test_tables_for_vectors_that_share_a_direction(spark, common, rows):
+    """Codes fitted on off-centre vectors, planned for many rows, find new pairs at a cosine of 0.905."""
+    rng = np.random.default_rng(3)
+    way = embeddings.unit(rng.standard_normal((1, 64)))
+
+    def draw(n):
+        return embeddings.unit(common * way + np.sqrt(1 - common**2) * embeddings.unit(rng.standard_normal((n, 64))))
+
+    table = spark.createDataFrame([(v,) for v in draw(3000).tolist()], "vector array<double>")
+    codes = embeddings.fit(table, rows, 0.9, 0.99, sample=rows)
+    a = draw(2000)
+    for b in (rng.standard_normal(a.shape), draw(2000) - draw(2000)):
+        b = embeddings.unit(b - (b * a).sum(axis=1, keepdims=True) * a)
+        b = 0.905 * a + np.sqrt(1 - 0.905**2) * b
+        assert (codes.keys(a) == codes.keys(b)).any(axis=1).mean() >= 0.97
