@@ -134,18 +134,30 @@ def _threshold(odds: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float((o[best] + o[best + 1]) / 2) if best + 1 < len(o) else float(o[best])
 
 
+#: Jaccard similarity of features from which a labelled row is a near copy.
+SAME = 0.8
+
+
 def _distinct(sets: list[np.ndarray]) -> np.ndarray:
-    """Rows that are no near copy of an earlier one, by two one-value signatures of their words."""
-    keep, seen = np.ones(len(sets), bool), [set(), set()]
+    """Rows that are no near copy of an earlier one that stays: met by two signatures, confirmed by their whole sets."""
+    keep = np.ones(len(sets), bool)
+    seen: list[dict[bytes, list[int]]] = [{}, {}]
     for i, s in enumerate(sets):
         if len(s) < 8:
             continue
+        met: list[list[int]] = []
         for known, odd in zip(seen, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), strict=True):
             with np.errstate(over="ignore"):
                 values = np.sort(W.mix(s.view(np.uint64) * np.uint64(odd)))[:3].tobytes()
-            if values in known:
+            met.append(known.setdefault(values, []))
+        for j in sorted({j for rows in met for j in rows if SAME * len(s) <= len(sets[j]) <= len(s) / SAME}):
+            common = len(np.intersect1d(s, sets[j], assume_unique=True))
+            if common >= SAME * (len(s) + len(sets[j]) - common):
                 keep[i] = False
-            known.add(values)
+                break
+        if keep[i]:
+            for rows in met:
+                rows.append(i)
     return keep
 
 

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 import leafmill.catalogue as catalogue
-from leafmill.llm import embeddings
+from leafmill.llm import embeddings, toxicity
+from leafmill.llm import words as W
 from leafmill.operators import package
 from leafmill.plans.checkpoints import keep
 
@@ -67,3 +68,15 @@ def test_tables_for_vectors_that_share_a_direction(spark, common, rows):
         b = embeddings.unit(b - (b * a).sum(axis=1, keepdims=True) * a)
         b = 0.905 * a + np.sqrt(1 - 0.905**2) * b
         assert (codes.keys(a) == codes.keys(b)).any(axis=1).mean() >= 0.97
+
+
+def test_labelled_rows_go_only_as_near_copies():
+    """Rows that share just the features with the least hashes all stay; one that differs in two of a hundred goes."""
+    pool = np.unique(np.random.default_rng(6).integers(1, 1 << 62, 8000))
+    with np.errstate(over="ignore"):
+        least = [np.argsort(W.mix(pool.view(np.uint64) * np.uint64(odd)))[:3] for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+    frequent = np.unique(np.concatenate(least))
+    rest = np.delete(pool, frequent)
+    rows = [np.sort(np.append(pool[frequent], rest[100 * i : 100 * i + 100])) for i in range(50)]
+    copy = np.sort(np.append(pool[frequent], np.append(rest[:98], rest[6000:6002])))
+    assert toxicity._distinct([*rows, copy]).tolist() == [True] * 50 + [False]
