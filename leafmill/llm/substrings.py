@@ -1,10 +1,11 @@
-"""Repeated passages by relative Lempel-Ziv parsing.
+"""Repeated passages by exact hashing of windows, in place of a relative Lempel-Ziv parse.
 
-Reference blocks are the windows of ``window`` words of all documents, indexed by their hash with the smallest
-document in which each starts.  A document is parsed greedily from left to right: where an indexed block of a smaller
-document starts, the factor is extended as long as the next words continue with blocks of the same document.  Only
-factors of at least one block count.  At a factor's end the blocks that straddle the boundary are looked up as well,
-so a passage that continues in another document is not lost.
+Blocks are the windows of ``window`` words of all documents, indexed by their hash with the smallest document in which
+each starts.  Every block of a document is joined to that index, whatever the blocks before it met, so no passage is
+lost where one reference ends and another begins.  Runs of consecutive blocks with the same smallest document make a
+factor.  No position in the reference is kept: a factor need not be one passage of it.  A greedy parse is not run as
+words go if any window that covers them is in a smaller document, which its longest matches alone do not tell, and as
+it would need the references' texts beside each document.
 
 The index holds only blocks that can repeat.  Of the ``gram``-word grams of a block the one with the least hash is
 its anchor; equal blocks have equal anchors, so blocks whose anchor occurs in one document only are not indexed.
@@ -97,7 +98,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterat
 
 
 def factors_of(starts: np.ndarray, refs: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """Greedy factors (start, length, reference) from the sorted starts of indexed blocks and their documents."""
+    """Factors (start, length, reference): runs in the sorted starts of indexed blocks with one smallest document."""
     if not len(starts):
         return []
     new = np.flatnonzero(np.append(True, (np.diff(starts) != 1) | (np.diff(refs) != 0)))
@@ -106,7 +107,7 @@ def factors_of(starts: np.ndarray, refs: np.ndarray, window: int) -> list[tuple[
 
 
 def _parse(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Factors of rows (node, tag, found) where found holds (at, ref)."""
+    """Factors of rows (node, tag, found) where found holds (at, ref): no parse, only runs."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ref", pa.int64())]))
     for batch in batches:
         out = []
