@@ -26,14 +26,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest document of each class at 80 % of five-word shingles.
+    """Keeps the row with the smallest doc_id of each class at 80 % of five-word shingles, null ids last.
 
-    Of rows with one doc_id one stays: the text whose hash is least.  Rows with a null doc_id all stay.
+    Rows are told apart by a digest of doc_id and text, so texts of one doc_id, or without any, are judged one by one
+    and only rows of one class, exact copies included, are dropped.
     """
-    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    texts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("_text"))
-    named = docs.join(kept.join(texts, "doc_id"), "doc_id").where(F.xxhash64("text") == F.col("_text"))
-    return named.dropDuplicates(["doc_id"]).select(*_same(docs)).unionByName(docs.where("doc_id is null"))
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
+    classes = neardup.near_duplicates(keyed, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    kept = keyed.select("doc_id", "_row").join(classes, "_row").groupBy("component_id").agg(least["_row"].alias("_row")).select("_row")
+    return keyed.join(kept, "_row").dropDuplicates(["_row"]).select(*_same(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

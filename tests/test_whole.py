@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+import corpus_pipeline
 import leafmill.catalogue as catalogue
 from leafmill.llm import embeddings, toxicity
 from leafmill.llm import words as W
@@ -80,3 +81,14 @@ def test_labelled_rows_go_only_as_near_copies():
     rows = [np.sort(np.append(pool[frequent], rest[100 * i : 100 * i + 100])) for i in range(50)]
     copy = np.sort(np.append(pool[frequent], np.append(rest[:98], rest[6000:6002])))
     assert toxicity._distinct([*rows, copy]).tolist() == [True] * 50 + [False]
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    """Of each group of near copies one row stays; clean rows stay though their id repeats or is null."""
+    text = [" ".join(f"{w}{i}" for i in range(40)) for w in "abcde"]
+    rows = [(1, text[0]), (1, text[1]), (2, text[0]), (3, text[2] + " x"), (3, text[2]), (None, text[3]), (None, text[3]), (None, text[4]), (None, text[0]), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted([(r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()])
+    third = [x for x in got if x[0] == 3]
+    assert len(third) == 1 and third[0][1].startswith(text[2])
+    assert [x for x in got if x[0] != 3] == [(0, text[3]), (0, text[4]), (1, text[0]), (1, text[1]), (4, ""), (5, "")]
