@@ -25,11 +25,16 @@ def query(sql: str | None = None):
     return add
 
 
+def _inside(name: str) -> F.Column:
+    """What all elements of a name hold, with attributes or without, one after the other."""
+    return F.array_join(F.regexp_extract_all("html", F.lit(rf"(?is)<{name}(?:\s[^>]*)?>(.*?)</{name}\s*>"), F.lit(1)), "\n")
+
+
 @query("""SELECT page_id AS id, unnest(CASE page_id % 3 WHEN 0 THEN ['a' || page_id || '.css', 'b.png'] WHEN 1 THEN ['c d.png', 'e.png', 'f.png'] ELSE ['g' || page_id || '.svg'] END) AS ref FROM pages""")
 def css_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References of style sheets: the pages' own and derived ones."""
     i = F.col("page_id")
-    own = F.regexp_extract("html", "(?s)<style>(.*?)</style>", 1)
+    own = _inside("style")
     more = (
         F.when(i % 3 == 0, F.concat(F.lit('@import "a'), i, F.lit('.css"; p{background:url( b.png )} /* url(no.png) */ q::before{content:"x.png"}')))
         .when(i % 3 == 1, F.lit('@namespace "urn:x"; a{background:image-set("c\\20 d.png" 1x, url(e.png) 2x, "f.png" type("image/png"))}'))
@@ -42,7 +47,7 @@ def css_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def js_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References of scripts: the pages' own and derived ones."""
     i = F.col("page_id")
-    own = F.regexp_extract("html", "(?s)<script>(.*?)</script>", 1)
+    own = _inside("script")
     more = (
         F.when(i % 3 == 0, F.concat(F.lit('import a from "./m'), i, F.lit(".js\"; const f = window.fetch; const u = '/data' + '.json'; f(u); // fetch('/no')")))
         .when(i % 3 == 1, F.lit("new Worker('w.js'); const r = new XMLHttpRequest(); r.open('GET', `https://a.example/x`); other.open('GET', '/no')"))

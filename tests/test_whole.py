@@ -92,3 +92,15 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     third = [x for x in got if x[0] == 3]
     assert len(third) == 1 and third[0][1].startswith(text[2])
     assert [x for x in got if x[0] != 3] == [(0, text[3]), (0, text[4]), (1, text[0]), (1, text[1]), (4, ""), (5, "")]
+
+
+def test_references_of_all_blocks_of_a_page(spark, tmp_path):
+    html = "<style>a{background:url(1.png)}</style><STYLE media='all'>b{background:url(2.png)}</STYLE ><styled>c{background:url(3.png)}</styled>"
+    html += "<script>fetch('/1')</script><script type=\"module\" async>fetch('/2')</script>"
+    spark.createDataFrame([(2, html)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    refs = {name: {r["ref"] for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()} for name in ("css_refs", "js_refs")}
+    assert {"1.png", "2.png"} <= refs["css_refs"] and "3.png" not in refs["css_refs"] and {"/1", "/2"} <= refs["js_refs"]
+
+
+def test_rectangles_of_all_lines(spark, long_document):
+    assert {r["rect"] for r in catalogue.QUERIES["rect_overlap_whole"](spark, long_document).collect()} == set(range(9))
