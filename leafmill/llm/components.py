@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import Scratch
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -13,14 +13,16 @@ def _print(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; component is the smallest node that is reachable.
 
     Each step groups by node with partial minima and joins the minima back, so a node with very many edges is
-    pre-aggregated in the one and split by adaptive execution in the other.  Steps are cut by checkpoints.  Edges
+    pre-aggregated in the one and split by adaptive execution in the other.  Each step is written and deletes the one
+    before it; the result reads the last one, a table of ``scratch``.  Edges
     with a null end and loops are left out; repeated edges count once; no edges give no rows.
     """
-    edges = cut(
+    scratch = scratch or Scratch(edges.sparkSession)
+    edges = scratch.keep(
         edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     before = _print(edges)
@@ -34,8 +36,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # Small star: neighbours below a node, and the node, point to the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
-        edges = cut(
-            joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        edges = scratch.keep(
+            joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct(),
+            edges,
         )
         after = _print(edges)
         if after == before:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import connected_components
-from .tables import cut, load
+from .tables import Scratch, load
 
 _U = np.uint64
 
@@ -52,10 +52,30 @@ def _minima(sets: list[np.ndarray], count: int) -> np.ndarray:
     return out
 
 
-SIGNED = "doc_id long, n long, set_lo long, set_hi long, u array<long>, v array<long>"
+#: Words of 64 bits that hold the parities of a set.
+PARITY = 8
+SIGNED = "doc_id long, n long, set_lo long, set_hi long, keys array<long>, parity array<long>"
+
+
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set, as PARITY words: whether the shingles that fall on each of 64 * PARITY places are odd in number.
+
+    The places where two sets differ are at most as many as the shingles that only one of them has.
+    """
+    out = np.zeros((len(sets), PARITY), np.int64)
+    width = 64 * PARITY
+    for lo in range(0, len(sets), 2048):
+        part = sets[lo : lo + 2048]
+        row = np.repeat(np.arange(len(part)), [len(x) for x in part])
+        place = (np.concatenate(part) >> _U(40)).astype(np.int64) % width
+        odd = (np.bincount(row * width + place, minlength=len(part) * width) & 1).astype(np.uint8)
+        out[lo : lo + 2048] = np.packbits(odd.reshape(len(part), width), axis=1).view(np.int64)
+    return out
 
 
 def _sign(batches: Iterator[pa.RecordBatch], size: int, tuples: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Rows of SIGNED: set sizes and digests, the keys of both collections of minima, parities."""
+    salt = np.array([W.factor(1000 + t) for t in range(2 * tuples)], np.uint64)
     for batch in batches:
         flat, offs = W.text_buffers(batch.column(1))
         for lo, hi in W.chunks(offs):
@@ -64,60 +84,21 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int, tuples: int, width: int)
             digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
             ids = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             full = np.flatnonzero(n)
-            halves = np.zeros((len(sets), 2 * tuples), np.int64)
+            keys = np.zeros((len(sets), 2 * tuples), np.int64)
             if len(full):
-                low = _minima([sets[i] for i in full], 2 * tuples * width).reshape(len(full) * 2 * tuples, width)
-                keys = np.full(len(low), _U(width), np.uint64)
+                low = _minima([sets[i] for i in full], 2 * tuples * width).reshape(len(full), 2 * tuples, width)
                 with np.errstate(over="ignore"):
+                    own = np.tile(salt, (len(full), 1))
                     for j in range(width):
-                        keys += low[:, j] * W.factor(j)
-                halves[full] = W.mix(keys).reshape(len(full), -1).view(np.int64)
-            sized = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, tuples, dtype=np.int32), pa.array(x.ravel()))
+                        own += low[:, :, j] * W.factor(j)
+                keys[full] = W.mix(own).view(np.int64)
+            sized = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(ids[:, 0]), pa.array(ids[:, 1]), sized(halves[:, :tuples].copy()), sized(halves[:, tuples:].copy())],
-                names=["doc_id", "n", "set_lo", "set_hi", "u", "v"],
+                [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(ids[:, 0]), pa.array(ids[:, 1]), sized(keys), sized(parities(sets))],
+                names=["doc_id", "n", "set_lo", "set_hi", "keys", "parity"],
             )
 
 
-#: Parts of the hash range in which a profile counts shingles.
-PARTS = 256
-_FULL = 65535
-
-
-def part_counts(shingles: np.ndarray) -> np.ndarray:
-    """How many shingles of a set fall into each part."""
-    return np.minimum(np.bincount((shingles >> _U(56)).astype(np.int64), minlength=PARTS), _FULL).astype("<u2")
-
-
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of rows (node, set_lo, most, counts, alone) less the parts of shingles that stand alone."""
-    for batch in batches:
-        own = []
-        for counts, alone in zip(batch.column(3), batch.column(4), strict=True):
-            left = np.frombuffer(counts.as_py(), "<u2")
-            if alone.is_valid:
-                lost = np.bincount(alone.values.to_numpy(), minlength=PARTS)
-                left = np.where(left == _FULL, _FULL, left - np.minimum(lost, left)).astype("<u2")
-            own.append(left.tobytes())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.binary())], names=["node", "set_lo", "most", "profile"])
-
-
-def _alike(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of rows (a, b, n1, n2, profile of a, profile of b) whose intersection can be large enough.
-
-    Two sets share at most the smaller count of each part, which bounds the intersection from above.
-    """
-    for batch in batches:
-        if not len(batch):
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, PARTS) for i in (4, 5))
-        low = np.minimum(x, y)
-        most = low.sum(axis=1, dtype=np.int64)
-        total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-        good = ((100 + percent) * most >= percent * total) | (low == _FULL).any(axis=1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
-
-
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         flat, offs = W.text_buffers(batch.column(1))
@@ -126,21 +107,37 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             begins = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             values = pa.array(np.concatenate(sets).view(np.int64))
             ids = [int.from_bytes(xxhash.xxh3_128_digest(x.tobytes())[:8], "little", signed=True) for x in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(begins, values), pa.array([part_counts(x).tobytes() for x in sets], pa.binary())],
-                names=["node", "set_lo", "shingles", "counts"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(begins, values)], names=["c", "shingles"])
+
+
+def _differ(x: str, y: str) -> F.Column:
+    """The number of places at which the parities in columns ``x0, x1, ...`` and ``y0, y1, ...`` differ."""
+    return sum((F.bit_count(F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}"))) for i in range(1, PARITY)), F.bit_count(F.col(f"{x}0").bitwiseXOR(F.col(f"{y}0"))))
+
+
+def _may_link(n1: str, x: str, n2: str, y: str, percent: int) -> F.Column:
+    """Whether sizes and parities allow a similarity of ``percent``: at most (1 - p) / (1 + p) of all shingles may differ."""
+    least = F.greatest(F.abs(F.col(n1) - F.col(n2)), _differ(x, y))
+    return (100 + percent) * least <= (100 - percent) * (F.col(n1) + F.col(n2))
+
+
+def _named(nodes: DataFrame, c: str, n: str, x: str, *more: F.Column) -> DataFrame:
+    """``nodes`` with its columns named anew for one side of a pair."""
+    return nodes.select(F.col("c").alias(c), F.col("n").alias(n), *[F.col(f"p{i}").alias(f"{x}{i}") for i in range(PARITY)], *more)
+
+
+#: Up to so many classes (of 8 bytes) are broadcast to pick their sets; for more, all sets are shuffled.
+FEW = 200_000
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose full sets are similar enough; sets travel only where profiles allow a link."""
-    side = lambda k, x, n: profiles.select(F.col("node").alias(k), F.col("n").alias(n), F.col("profile").alias(x))
-    met = pairs.join(side("a", "x", "n1"), "a").join(side("b", "y", "n2"), "b").select("a", "b", "n1", "n2", "x", "y")
-    likely = cut(met.mapInArrow(partial(_alike, percent=percent), "a long, b long").distinct())
-    full = lambda k, x: sets.select(F.col("node").alias(k), F.col("shingles").alias(x))
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(c, d)``, a written table, whose full sets are similar enough."""
+    used = pairs.select("c").unionByName(pairs.select(F.col("d").alias("c"))).distinct()
+    if used.count() <= FEW:
+        sets = sets.join(F.broadcast(used), "c", "left_semi")
+    met = pairs.join(sets.select("c", F.col("shingles").alias("x")), "c").join(sets.select(F.col("c").alias("d"), F.col("shingles").alias("y")), "d")
     both = F.size(F.array_intersect("x", "y"))
-    compared = likely.join(full("a", "x"), "a").join(full("b", "y"), "b")
-    return compared.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return met.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
 def near_duplicates(
@@ -160,119 +157,87 @@ def near_duplicates(
     Jaccard similarity of at least ``percent`` % are linked.  With the defaults a pair at 80 % misses every table
     with probability 1 - (1 - 0.36**12)**2 < 0.00001.
 
-    Equal sets first become one class, named by its smallest document, so copies are never paired.  In each table
-    bucket all classes are compared with one hub only; what is still apart after ``star_rounds`` such rounds is
-    then compared pair by pair, so no candidate link between different components is skipped.  Equality of 64-bit shingle hashes stands for equality of shingles.
+    Equal sets first become one class, named by its smallest document, so copies are never paired.  In up to
+    ``star_rounds`` rounds every class is compared with the closest of the hubs of its table buckets; what is still
+    apart is then compared pair by pair, so no candidate link between different components is skipped.  Pairs are
+    left out before their sets are read only where sizes and parities prove them too different.  Equality of 64-bit
+    hashes stands for equality of shingles and, among candidates, of sets.
 
     Null or empty text: an empty set, linked with nothing, kept.  Rows of one doc_id are one document that any of
     its texts can link.  A null doc_id cannot name a component: its row joins a class of equal sets, else
-    component_id is null; a row is kept if doc_id and component_id are equal or both null.  Empty tables give no
-    rows; other columns are not read.
+    component_id is null; a row is kept if doc_id and component_id are equal or both null.  Texts of any length are
+    read whole, each in memory on its own.  Repeated rows count as one document each time; ties go to the smallest
+    doc_id.  Empty tables give no rows; other columns are not read, whatever their names.
     """
+    scratch = Scratch(documents.sparkSession)
     rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    signed = cut(rows.mapInArrow(partial(_sign, size=shingle, tuples=tuples, width=width), SIGNED))
-    full = signed.where("n > 0")
-    classes = full.groupBy("set_lo", "set_hi").agg(
-        F.min("doc_id").alias("node"), F.any_value("n").alias("n"), F.any_value("u").alias("u"), F.any_value("v").alias("v")
+    signed = scratch.keep(rows.mapInArrow(partial(_sign, size=shingle, tuples=tuples, width=width), SIGNED))
+    classes = signed.where("n > 0").groupBy("set_lo", "set_hi").agg(
+        F.min("doc_id").alias("node"), *[F.any_value(k).alias(k) for k in ("n", "keys", "parity")]
     )
-    classes = cut(classes.where("node is not null"))
-    pieces = classes.select(
-        "node",
-        "n",
-        "set_lo",
-        F.explode(
-            F.concat(
-                F.transform("u", lambda x, i: F.struct(F.lit(0).alias("side"), i.alias("i"), x.alias("half"))),
-                F.transform("v", lambda x, i: F.struct(F.lit(1).alias("side"), i.alias("i"), x.alias("half"))),
-            )
-        ).alias("p"),
-    ).select("node", "n", "set_lo", "p.side", "p.i", "p.half")
-    shared = pieces.groupBy("side", "i", "half").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("side", "i", "half")
-    halves = pieces.join(shared, ["side", "i", "half"])
-    gathered = halves.groupBy("node", "n", "set_lo").agg(
-        F.collect_list(F.when(F.col("side") == 0, F.struct("i", "half"))).alias("us"),
-        F.collect_list(F.when(F.col("side") == 1, F.struct("i", "half"))).alias("vs"),
-    )
-    gathered = gathered.where("size(us) > 0 and size(vs) > 0")
-    tables = (
-        gathered.select("node", "n", "set_lo", F.explode("us").alias("p"), "vs")
-        .select("node", "n", "set_lo", "p", F.explode("vs").alias("q"))
-        .select(F.xxhash64("p.i", "q.i", "p.half", "q.half").alias("bucket"), "node", "n", "set_lo", (F.col("p.i") * tuples + F.col("q.i")).alias("at"))
+    spelt = [F.col("parity")[i].alias(f"p{i}") for i in range(PARITY)]
+    classes = scratch.keep(classes.where("node is not null").select(F.col("set_lo").alias("c"), "set_hi", "node", "n", "keys", *spelt))
+    # A table key can only be shared where both halves are.
+    pieces = classes.select("c", F.posexplode("keys").alias("t", "key"))
+    shared = pieces.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    halves = pieces.join(shared, "key").groupBy("c").agg(
+        F.collect_list(F.when(F.col("t") < tuples, F.col("key"))).alias("us"), F.collect_list(F.when(F.col("t") >= tuples, F.col("key"))).alias("vs")
     )
-    alive = tables.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
-    nodes = cut(tables.join(alive, "bucket").groupBy("node", "n", "set_lo").agg(F.collect_list(F.struct("bucket", "at")).alias("buckets")))
-    named = nodes.select(F.col("node").alias("doc_id")).distinct()
-    sets = rows.join(named, "doc_id", "left_semi").mapInArrow(partial(_sets, size=shingle), "node long, set_lo long, shingles array<long>, counts binary")
-    sets = cut(sets)
-    # Shingles that no other candidate has can be in no intersection: ``most`` bounds every intersection of a set.
-    held = sets.select("set_lo", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("set_lo").alias("a"), F.max("set_lo").alias("b"))
-    alone = held.where("a = b").groupBy(F.col("a").alias("set_lo")).agg(F.collect_list(F.shiftrightunsigned("shingle", 56).cast("short")).alias("alone"))
-    weighed = sets.select("node", "set_lo", F.size("shingles").alias("n"), "counts").join(alone, "set_lo", "left")
-    weighed = weighed.withColumn("most", F.col("n") - F.greatest(F.size("alone"), F.lit(0))).where(100 * F.col("most") >= percent * F.col("n"))
-    profiles = cut(weighed.select("node", "set_lo", F.col("most").cast("long"), "counts", "alone").mapInArrow(_profiles, "node long, set_lo long, most long, profile binary"))
-    bound = profiles.select("set_lo", "node", "most").distinct()
-    ints = F.concat(*[F.transform(c, lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")) for c in ("u", "v")]).alias("halves")
-    nodes = cut(nodes.join(bound, ["set_lo", "node"]).join(classes.select("set_lo", "node", ints), ["set_lo", "node"]))
-    profiles = cut(profiles.select("node", "set_lo", "profile").distinct().join(nodes.select("node", "set_lo", "n"), ["node", "set_lo"]).select("node", "n", "profile"))
+    tables = halves.select("c", F.explode("us").alias("u"), "vs").select("c", "u", F.explode("vs").alias("v")).select(F.xxhash64("u", "v").alias("bucket"), "c")
+    alive = tables.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+    entries = tables.join(alive, "bucket").groupBy("c").agg(F.collect_set("bucket").alias("buckets"))
+    nodes = scratch.keep(entries.join(classes.select("c", "node", "n", "keys", *[f"p{i}" for i in range(PARITY)]), "c"))
+    wanted = nodes.select(F.col("node").alias("doc_id")).distinct()
+    sets = rows.join(wanted, "doc_id", "left_semi").mapInArrow(partial(_sets, size=shingle), "c long, shingles array<long>")
+    sets = scratch.keep(sets.join(nodes.select("c"), "c", "left_semi").dropDuplicates(["c"]))
 
     links, label = None, None
     for turn in range(star_rounds + 1):
-        live = _labelled(nodes, label)
-        pairs = _stars(live, turn, percent) if turn < star_rounds else _rest(live, percent, tuples)
-        found = _linked(pairs, sets, profiles, percent)
-        links = cut(found if links is None else links.unionByName(found))
-        label = connected_components(links)
-        if turn < star_rounds:
-            label = cut(label)
-
-    class_of = classes.join(label, "node", "left").select("set_lo", "set_hi", F.coalesce("component", "node").alias("component"))
-    out = signed.join(class_of, ["set_lo", "set_hi"], "left")
+        live = nodes.withColumn("label", F.col("node")) if label is None else nodes.join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
+        live = scratch.keep(live.select("c", "node", "label", "n", *[f"p{i}" for i in range(PARITY)], "keys", "buckets"))
+        pairs = scratch.keep(_stars(live, turn, percent) if turn < star_rounds else _rest(live, tuples, percent))
+        scratch.drop(live)
+        found = _linked(pairs, sets, percent)
+        before, links = links, scratch.keep(found if links is None else links.unionByName(found), pairs)
+        scratch.drop(before, label)
+        component = connected_components(links, scratch=scratch)
+        label = scratch.keep(component)
+    scratch.drop(sets, nodes, links)
+
+    class_of = classes.join(label, "node", "left").select(F.col("c").alias("set_lo"), "set_hi", F.coalesce("component", "node").alias("component"))
+    out = signed.select("doc_id", "n", "set_lo", "set_hi").join(class_of, ["set_lo", "set_hi"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _labelled(nodes: DataFrame, label: DataFrame | None) -> DataFrame:
-    """The bucket entries of all classes with their component so far as ``label``."""
-    if label is None:
-        named = nodes.withColumn("label", F.col("node"))
-    else:
-        named = nodes.join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    named = named.select(F.explode("buckets").alias("e"), "node", "n", "most", "halves", "label")
-    return named.select("e.bucket", "e.at", "node", "n", "most", "halves", "label")
-
-
-def _may_link(n1: str, most1: str, n2: str, most2: str, percent: int) -> F.Column:
-    """Whether the sizes of two sets, and how many shingles each has that any other candidate has, allow a link."""
-    return (100 + percent) * F.least(most1, most2) >= percent * (F.col(n1) + F.col(n2))
-
-
 def _stars(live: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs of a class and the least hub, in this turn's order, of its buckets with several components."""
-    rank = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
-    hubs = live.groupBy("bucket").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(rank.alias("rank"), "node", "label", "n", "most")).alias("hub")
-    )
-    hubs = hubs.where("lo < hi")
-    met = live.drop("halves", "at").join(hubs, "bucket").where("label <> hub.label")
-    met = met.where((100 + percent) * F.least("most", "hub.most") >= percent * (F.col("n") + F.col("hub.n")))
-    return met.groupBy(F.col("node").alias("a")).agg(F.min(F.struct("hub.rank", "hub.node"))["node"].alias("b"))
-
-
-def _rest(live: DataFrame, percent: int, tuples: int) -> DataFrame:
+    """Pairs of each class and the closest hub, in this turn's order, of its buckets with several components."""
+    placed = live.select(F.explode("buckets").alias("bucket"), "c", "label")
+    rank = F.xxhash64("c", F.lit(turn)) if turn else F.col("label")
+    hubs = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(rank.alias("rank"), "c", "label")).alias("hub"))
+    hubs = hubs.where("lo < hi").select("bucket", F.col("hub.c").alias("d"), F.col("hub.label").alias("hub_label"))
+    met = placed.join(hubs, "bucket").where("label <> hub_label").select("c", "d").distinct()
+    both = met.join(_named(live, "c", "n1", "x", F.col("node").alias("a")), "c").join(_named(live, "d", "n2", "y", F.col("node").alias("b")), "d")
+    both = both.where(_may_link("n1", "x", "n2", "y", percent))
+    best = F.min(F.struct(_differ("x", "y").alias("by"), "d", "a", "b"))
+    return both.groupBy("c").agg(best.alias("best")).select("c", "best.d", "best.a", "best.b")
+
+
+def _rest(live: DataFrame, tuples: int, percent: int) -> DataFrame:
     """All pairs of one bucket but different components that may link, each in the first table that holds both.
 
     The largest component of a bucket is not paired with itself.
     """
-    counted = live.groupBy("bucket", "label").agg(F.count("*").alias("size"))
+    placed = live.select(F.explode("buckets").alias("bucket"), "c", "label")
+    counted = placed.groupBy("bucket", "label").agg(F.count("*").alias("size"))
     major = counted.groupBy("bucket").agg(F.max(F.struct("size", "label"))["label"].alias("major"), F.count("*").alias("labels"))
-    mixed = live.join(major.where("labels > 1").drop("labels"), "bucket")
-    side = lambda k: mixed.select("bucket", *[F.col(c).alias(f"{c}{k}") for c in ("at", "node", "n", "most", "halves", "label", "major")])
-    pairs = side(1).where("label1 <> major1").drop("major1").join(side(2).drop("at2"), "bucket")
-    pairs = pairs.where("label1 <> label2 and (label2 = major2 or node1 < node2)").where(_may_link("n1", "most1", "n2", "most2", percent))
-    same = F.zip_with("halves1", "halves2", lambda x, y: x == y)
-    first = lambda lo: F.array_position(F.slice(same, lo, tuples), True) - 1
-    pairs = pairs.where(first(1) * tuples + first(tuples + 1) == F.col("at1"))
-    return pairs.select(F.greatest("node1", "node2").alias("a"), F.least("node1", "node2").alias("b"))
+    mixed = placed.join(major.where("labels > 1").select("bucket", "major"), "bucket")
+    side = lambda c, n, x, a, l, k: _named(live, c, n, x, F.col("node").alias(a), F.col("keys").alias(k), F.col("label").alias(l))
+    minor = mixed.where("label <> major").select("bucket", "c", "major").join(side("c", "n1", "x", "a", "l1", "k1"), "c")
+    every = mixed.select("bucket", F.col("c").alias("d")).join(side("d", "n2", "y", "b", "l2", "k2"), "d")
+    pairs = minor.join(every, "bucket").where("l1 <> l2 and (l2 = major or c < d)").where(_may_link("n1", "x", "n2", "y", percent))
+    same = lambda lo: F.element_at(F.array_intersect(F.slice("k1", lo, tuples), F.slice("k2", lo, tuples)), 1)
+    return pairs.where(F.xxhash64(same(1), same(tuples + 1)) == F.col("bucket")).select("c", "d", "a", "b")
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,44 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables in a folder of their own below the shared checkpoint folder.
+
+    ``keep`` writes a frame and reads it from there, which cuts its lineage; tables that a later one supersedes are
+    deleted at once, what is left when the session ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark = spark
+        self.root = f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+        self.tables: list[tuple[DataFrame, str]] = []
+        self.written = 0
+        fs, path = self._at(self.root)
+        fs.deleteOnExit(path)
+
+    def _at(self, name: str) -> tuple:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def keep(self, frame: DataFrame, *superseded: DataFrame | None) -> DataFrame:
+        """``frame`` as a written table; the tables it supersedes go."""
+        self.written += 1
+        name = f"{self.root}/{self.written}"
+        frame.write.option("compression", "zstd").parquet(name)
+        out = self.spark.read.schema(frame.schema).parquet(name)
+        self.drop(*superseded)
+        self.tables.append((out, name))
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete tables that ``keep`` returned; anything else is left alone."""
+        for out, name in [x for x in self.tables if any(x[0] is t for t in tables)]:
+            fs, path = self._at(name)
+            fs.delete(path, True)
+            self.tables = [x for x in self.tables if x[0] is not out]
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
