@@ -126,8 +126,8 @@ def _named(nodes: DataFrame, c: str, n: str, x: str, *more: F.Column) -> DataFra
     return nodes.select(F.col("c").alias(c), F.col("n").alias(n), *[F.col(f"p{i}").alias(f"{x}{i}") for i in range(PARITY)], *more)
 
 
-#: Up to so many classes (of 8 bytes) are broadcast to pick their sets; for more, all sets are shuffled.
-FEW = 200_000
+#: Up to so many ids (of 8 bytes) are broadcast to pick texts and sets; for more, both sides are shuffled.
+FEW = 500_000
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -188,6 +188,7 @@ def near_duplicates(
     entries = tables.join(alive, "bucket").groupBy("c").agg(F.collect_set("bucket").alias("buckets"))
     nodes = scratch.keep(entries.join(classes.select("c", "node", "n", "keys", *[f"p{i}" for i in range(PARITY)]), "c"))
     wanted = nodes.select(F.col("node").alias("doc_id")).distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
     sets = rows.join(wanted, "doc_id", "left_semi").mapInArrow(partial(_sets, size=shingle), "c long, shingles array<long>")
     sets = scratch.keep(sets.join(nodes.select("c"), "c", "left_semi").dropDuplicates(["c"]))
 

@@ -23,6 +23,8 @@ _R = _U(0x9E3779B97F4A7C15 | 1)
 _RI = _U(pow(int(_R), -1, 1 << 64))
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_factor_rng = np.random.default_rng(20240301)
+_factors: list[np.uint64] = []
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 FOLD = np.arange(256, dtype=np.uint8)
@@ -135,7 +137,7 @@ def combine(hashes: np.ndarray, width: int) -> np.ndarray:
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, _U((width * 0xA0761D6478BD642F) % (1 << 64)), np.uint64)
+    out = np.full(n, factor(64 + width), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(width):
             out += hashes[j : j + n] * factor(j)
@@ -143,5 +145,7 @@ def combine(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def factor(j: int) -> np.uint64:
-    """The j-th odd multiplier of :func:`combine`."""
-    return _U((0xE7037ED1A0B428DB * (2 * j + 1) + (j << 33)) % (1 << 64) | 1)
+    """The j-th odd multiplier of :func:`combine`; without any pattern in j, or reordered words would collide."""
+    while len(_factors) <= j:
+        _factors.append(_U(_factor_rng.integers(0, 1 << 63, dtype=np.uint64) * _U(2) + _U(1)))
+    return _factors[j]

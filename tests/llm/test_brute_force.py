@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,18 +85,74 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert sum(truth[r["doc_id"]] == r["lang_pred"] for r in out) / len(out) >= 0.98
 
 
-def test_language_backoff_and_edges(spark):
+def test_hashes_tell_orders_of_words_apart():
+    import itertools
+
+    from leafmill.llm import words as W
+
+    pool = W.mix(np.arange(1, 4, dtype=np.uint64))
+    rows = list(itertools.product(range(3), repeat=7))
+    assert len({W.combine(pool[list(r)], 7)[0] for r in rows}) == len(rows)
+
+
+def by_words(train, texts, orders=4):
+    """Word-first backoff in plain Python: (language, posterior) of each text."""
+    import math
+    from collections import Counter
+
+    words = lambda text: "".join(c if c.isalpha() else " " for c in text.lower()).split()
+
+    def parts(word, k):
+        marked = f"<{word}>" if k > 1 else word
+        return [word] if k == 0 else [marked[i : i + k] for i in range(len(marked) - k + 1)]
+
+    langs = sorted({lang for lang, _ in train})
+    counts = [{lang: Counter() for lang in langs} for _ in range(orders + 1)]
+    for lang, text in train:
+        for word in words(text):
+            for k in range(orders + 1):
+                counts[k][lang].update(parts(word, k))
+    names = [set().union(*c.values()) for c in counts]
+    log = lambda k, x, lang: math.log((counts[k][lang][x] + 0.5) / (sum(counts[k][lang].values()) + 0.5 * len(names[k])))
+    out = []
+    for text in texts:
+        total = dict.fromkeys(langs, 0.0)
+        for word in words(text or ""):
+            for k in (0, *range(orders, 0, -1)):
+                known = [x for x in parts(word, k) if x in names[k]]
+                if known:
+                    for lang in langs:
+                        total[lang] += sum(log(k, x, lang) for x in known) / len(known)
+                    break
+        best = max(langs, key=lambda lang: total[lang])
+        out.append((best, 1 / sum(math.exp(v - total[best]) for v in total.values())) if words(text or "") else ("und", 0.0))
+    return out
+
+
+def test_language_equals_brute_force(spark, monkeypatch):
+    docs = [r for r in load(spark, SF, "documents").collect() if r["text"] is not None]
+    train = [(r["lang"], r["text"]) for r in docs[:60] if r["lang"]]
+    texts = [r["text"] for r in docs[60:110]] + ["baumhaus ǅungla ΣΑΣ İx", "x" * 70 + " " + "the " * 3, "123 !?", "²³ Ⅷ", "", None, "日本語 the"]
+    want = by_words(train, texts)
+    model = language.fit(spark.createDataFrame([(i, *r) for i, r in enumerate(train)], "doc_id long, lang string, text string"))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size in (language.CHUNK, 40):
+        batch = rows.orderBy("doc_id").toArrow().combine_chunks().to_batches()[0]
+        monkeypatch.setattr(language, "CHUNK", size)
+        got = pa.Table.from_batches(language._predict([batch], model, 1))
+        assert got.column("lang_pred").to_pylist() == [w[0] for w in want]
+        assert np.allclose(got.column("lang_score").to_numpy(), [w[1] for w in want])
+
+
+def test_language_edges(spark):
     train = spark.createDataFrame([(1, "en", "the house the tree"), (2, "de", "das haus der baum"), (3, None, "zz"), (4, "en", None), (None, "fr", "le la")], "doc_id long, lang string, text string")
     model = language.fit(train)
     assert model.languages == ["de", "en"]
-    rows = spark.createDataFrame([(1, "the", "x"), (2, "baumhaus", "y"), (3, None, None), (4, "", "z"), (5, "123 !?", "z")], "doc_id long, text string, lang string")
+    rows = spark.createDataFrame([(1, "the", "x"), (2, "baumhaus", "y"), (3, None, None), (4, "", "z"), (5, "123 !?", "z"), (6, "the tree " * 300_000, "z")], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r for r in language.identify(rows, model).collect()}
-    assert [got[i]["lang_pred"] for i in range(1, 6)] == ["en", "de", "und", "und", "und"]
+    assert [got[i]["lang_pred"] for i in range(1, 7)] == ["en", "de", "und", "und", "und", "en"]
     assert all(0 <= r["lang_score"] <= 1 for r in got.values()) and got[1]["lang"] == "x"
     assert language.identify(rows, language.fit(train.limit(0))).where("lang_pred <> 'und'").count() == 0
-    # the unseen word is scored by its longest known n-grams
-    grams = [g for g in language.grams_of("baumhaus", 4) if g in model.grams]
-    assert np.allclose(language.score_word(model, "baumhaus"), model.table[[model.grams[g] for g in grams]].astype(float).mean(axis=0))
 
 
 def test_toxicity_chain_on_planted_documents(spark):

@@ -79,7 +79,7 @@ def test_taken_names_are_refused(spark):
     with pytest.raises(ValueError):
         decontaminate.decontaminate(docs.withColumn("decon_items", F.lit(1)), docs.select(F.col("doc_id").alias("item_id"), "text"))
     with pytest.raises(ValueError):
-        language.identify(docs.withColumn("lang_pred", F.lit("x")), language.LanguageModel([], {}, {}, None, 4))
+        language.identify(docs.withColumn("lang_pred", F.lit("x")), language.LanguageModel([], []))
 
 
 def test_components_of_paths_stars_and_loops(spark):
