@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import cut, load
+from . import words as W
+from .tables import Scratch, load
 from .words import chunks, text_buffers
 
 
@@ -35,33 +36,55 @@ class Plan:
     sequences: int = 0
 
 
-def _fill(gap: int, left: np.ndarray, most: int = 3) -> tuple[int, ...] | None:
-    """Up to ``most`` available lengths that sum to ``gap``, longest first."""
-    if gap <= 0:
+class SumIndex:
+    """Available lengths indexed by the sums of one, two and three of them.
+
+    For each sum the index holds the place of the first combination that may still be available, the longest lengths
+    first.  Lengths are only ever used up, so a combination that has gone never comes back and places only move on.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        size = len(left)
+        self.pairs = np.arange(size) - 1
+        self.triples = np.arange(size) - 2
+
+    def _next(self, x: int, other: int, least: int) -> int:
+        """The greatest available length from ``x`` down to ``least`` whose complement to ``other`` is available."""
+        if x < least:
+            return least - 1
+        lengths = np.arange(x, least - 1, -1)
+        both = np.flatnonzero((self.left[lengths] > 0) & (self.left[other - lengths] > 0) & ((2 * lengths != other) | (self.left[lengths] > 1)))
+        return int(lengths[both[0]]) if len(both) else least - 1
+
+    def pair(self, total: int, beside: tuple[int, ...] = ()) -> tuple[int, int] | None:
+        """Two available lengths of this sum, the pieces ``beside`` being taken."""
+        least = (total + 1) // 2
+        x = self.pairs[total] = self._next(int(self.pairs[total]), total, least)
+        while x >= least:
+            parts = (x, total - x, *beside)
+            if all(self.left[p] >= parts.count(p) for p in parts):
+                return x, total - x
+            x = self._next(x - 1, total, least)
         return None
-    if left[gap]:
-        return (gap,)
-    if most > 1:
-        # Pair sums: x and gap - x, with x the longer.
-        x = np.arange((gap + 1) // 2, gap)
-        both = (left[x] > 0) & (left[gap - x] > 0) & ((2 * x != gap) | (left[x] > 1))
-        if both.any():
-            a = int(x[np.flatnonzero(both)[-1]])
-            return (a, gap - a)
-    if most > 2:
-        there = np.flatnonzero(left[:gap])
-        for a in there[there >= (gap + 2) // 3][::-1].tolist():
-            rest = gap - a
-            x = there[(there >= (rest + 1) // 2) & (there < rest) & (there <= a)]
-            if not len(x):
-                continue
-            y = rest - x
-            need_x = 1 + (x == a) + (x == y)
-            good = (left[y] > 0) & (left[x] >= need_x) & (left[y] >= 1 + (y == a) + (x == y))
-            if good.any():
-                b = int(x[np.flatnonzero(good)[-1]])
-                return (a, b, rest - b)
-    return None
+
+    def triple(self, total: int, beside: tuple[int, ...] = ()) -> tuple[int, int, int] | None:
+        """Three available lengths of this sum, the pieces ``beside`` being taken."""
+        least = (total + 2) // 3
+        while self.triples[total] >= least and not (self.left[self.triples[total]] and self.pair(total - int(self.triples[total]))):
+            self.triples[total] -= 1
+        for x in range(int(self.triples[total]), least - 1, -1):
+            if self.left[x] > beside.count(x) and (rest := self.pair(total - x, (x, *beside))):
+                return x, *rest
+        return None
+
+    def fill(self, gap: int, beside: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        """One, else two, else three available lengths that fill a gap exactly, the pieces ``beside`` being taken."""
+        if gap <= 0:
+            return None
+        if self.left[gap] > beside.count(gap):
+            return (gap,)
+        return self.pair(gap, beside) or self.triple(gap, beside)
 
 
 def make_plan(counts: dict[int, int], capacity: int) -> Plan:
@@ -71,6 +94,7 @@ def make_plan(counts: dict[int, int], capacity: int) -> Plan:
         left[length] = n
     taken = np.zeros(capacity + 1, np.int64)
     plan = Plan()
+    index = SumIndex(left)
     #: Room left in open sequences: room -> list of [first sequence, how many, fill].
     open_at: dict[int, list[list[int]]] = {}
 
@@ -85,9 +109,7 @@ def make_plan(counts: dict[int, int], capacity: int) -> Plan:
 
     for length in range(capacity, 0, -1):
         while left[length]:
-            left[length] -= 1
-            fill = () if length == capacity else _fill(capacity - length, left)
-            left[length] += 1
+            fill = () if length == capacity else index.fill(capacity - length, (length,))
             if fill is None:
                 break
             parts = (length, *fill)
@@ -139,17 +161,45 @@ def make_plan(counts: dict[int, int], capacity: int) -> Plan:
     return plan
 
 
-class _Numbers(dict):
-    """Numbers keys as they come; new keys are also noted."""
+class _Table:
+    """Numbers of 64-bit keys in order of arrival, in a large sorted array and a small one of recent keys."""
 
     def __init__(self) -> None:
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, key: bytes) -> int:
-        self[key] = n = len(self)
-        self.new.append(key)
-        return n
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        self.parts, self.n = [none, none], 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1."""
+        out = np.full(len(keys), -1, np.int64)
+        for own, number in self.parts:
+            if len(own):
+                at = np.searchsorted(own, keys)
+                at[at == len(own)] = 0
+                hit = own[at] == keys
+                out[hit] = number[at[hit]]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Number distinct keys that are not in the table."""
+        fresh = (keys, np.arange(self.n, self.n + len(keys), dtype=np.int32))
+        self.n += len(keys)
+        held = [self.parts[1], fresh]
+        large = 4 * (len(held[0][0]) + len(keys)) > len(self.parts[0][0])
+        if large:
+            held.append(self.parts[0])
+        own, number = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        order = np.argsort(own, kind="stable")
+        merged = (own[order], number[order])
+        self.parts = [merged, (own[:0], number[:0])] if large else [self.parts[0], merged]
+
+
+def _grown(array: np.ndarray, size: int) -> np.ndarray:
+    """``array`` with room for ``size`` entries."""
+    if size <= len(array):
+        return array
+    out = np.zeros((max(size, len(array) * 3 // 2), *array.shape[1:]), array.dtype)
+    out[: len(array)] = array
+    return out
 
 
 class WordEncoder:
@@ -158,13 +208,16 @@ class WordEncoder:
     For tokenizers that drop white space and mark the end of each pre-token: ASCII white space then separates
     tokens, so a text's ids are those of its words.  A word of Latin-1 letters between ASCII punctuation is the ids
     of these two or three pieces; any other word is given to the tokenizer as it is.  New pieces of letters are
-    encoded many at a time and told apart by their end marks.
+    encoded many at a time and told apart by their end marks.  Known words and pieces are told apart by 64-bit hashes
+    and take some 20 to 30 bytes each.
     """
 
     _MARK = r"[!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*"
     _PLAIN = re.compile(rf"({_MARK})([A-Za-zÀ-ÖØ-öø-ÿ]+)({_MARK})")
+    #: Words whose ids are put together at a time.
+    _STEP = 1 << 18
 
-    def __init__(self, path: str, known: int = 700_000):
+    def __init__(self, path: str, known: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -175,85 +228,89 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.pieces: dict[str, int] = {"": 0}
-        self.flat = np.zeros(1 << 16, np.uint16 if len(self.ends) <= 1 << 16 else np.uint32)
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.used = 0
-        self.forget_words()
-
-    def forget_words(self) -> None:
-        self.words = _Numbers()
-        self.rows = np.zeros((1 << 16, 3), np.int32)
-
-    def _add(self, names: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
-        n, total = len(self.pieces), len(ids)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(names) + 1 > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-        self.flat[self.used : self.used + total] = ids
-        self.begin[n + 1 : n + len(names) + 1] = self.used + np.cumsum(sizes)
-        self.used += total
-        self.pieces.update(zip(names, range(n, n + len(names)), strict=True))
+        self.words, self.pieces = _Table(), _Table()
+        self.rows = np.zeros((1 << 12, 3), np.int32)
+        self.flat = np.zeros(1 << 12, np.uint16 if len(self.ends) <= 1 << 16 else np.uint32)
+        self.begin = np.zeros(1 << 12, np.int64)
+        self._add(np.array([W.EMPTY]), np.zeros(1, np.int64), np.zeros(0, np.int64))
+
+    def _add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Pieces with their ids, one after the other."""
+        n, used = self.pieces.n, int(self.begin[self.pieces.n])
+        self.flat = _grown(self.flat, used + len(ids))
+        self.begin = _grown(self.begin, n + len(keys) + 1)
+        self.flat[used : used + len(ids)] = ids
+        self.begin[n + 1 : n + len(keys) + 1] = used + np.cumsum(sizes)
+        self.pieces.add(keys)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        parsed: list[tuple[str, ...]] = []
-        letters: dict[str, None] = {}
-        others: dict[str, None] = {}
+    def _new(self, names: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Hashes of names, and those that are no known pieces with their hashes."""
+        raw = [x.encode() for x in names]
+        ends = np.cumsum([len(x) for x in raw], dtype=np.int64)
+        keys = W.hash_words(np.frombuffer(b"".join(raw), np.uint8), np.append(0, ends[:-1]).astype(np.int64), ends, fold=False) if raw else np.zeros(0, np.uint64)
+        keys[[not x for x in raw]] = W.EMPTY
+        first = np.unique(keys, return_index=True)[1]
+        first = first[self.pieces.find(keys[first]) < 0]
+        return keys, [names[i] for i in first.tolist()], keys[first]
+
+    def _learn(self, words: list[bytes], keys: np.ndarray) -> None:
+        parsed: list[list[str]] = [[], [], []]
         for word in words:
             text = word.decode()
             if plain := self._PLAIN.fullmatch(text):
                 before, body, after = plain.groups()
-                body = body.lower()
-                letters[body] = None
-                others[before] = others[after] = None
-                parsed.append((before, body, after))
             else:
-                others[text] = None
-                parsed.append((text, "", ""))
-        new = [x for x in letters if x not in self.pieces]
+                before, body, after = text, "", ""
+            for own, part in zip(parsed, (before, body.lower(), after), strict=True):
+                own.append(part)
+        letters, new, fresh = self._new(parsed[1])
         lines = [new[i : i + 100] for i in range(0, len(new), 100)]
-        for line, ids in zip(lines, self._encode([" ".join(x) for x in lines]), strict=True):
-            ids = np.array(ids, np.int64)
-            last = np.flatnonzero(self.ends[ids])
-            assert len(last) == len(line), "the tokenizer does not mark the ends of words"
-            self._add(line, np.diff(last, prepend=-1), ids)
-        new = [x for x in others if x not in self.pieces]
-        if new:
-            ids = self._encode(new)
-            self._add(new, np.array([len(x) for x in ids], np.int64), np.array([i for x in ids for i in x], np.int64))
-        n = len(self.words)
-        while n > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        get = self.pieces.__getitem__
-        self.rows[n - len(words) : n] = [[get(a), get(b), get(c)] for a, b, c in parsed]
-
-    def encode(self, text: str) -> np.ndarray:
-        return self.encode_many([text])[0]
+        ids = np.array([i for x in self._encode([" ".join(x) for x in lines]) for i in x], np.int64)
+        last = np.flatnonzero(self.ends[ids])
+        assert len(last) == len(new), "the tokenizer does not mark the ends of words"
+        self._add(fresh, np.diff(last, prepend=-1), ids)
+        around, new, fresh = self._new(parsed[0] + parsed[2])
+        found = self._encode(new)
+        self._add(fresh, np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], np.int64))
+        n = self.words.n
+        self.rows = _grown(self.rows, n + len(words))
+        place = (self.pieces.find(around[: len(words)]), self.pieces.find(letters), self.pieces.find(around[len(words) :]))
+        self.rows[n : n + len(words)] = np.stack(place, axis=1)
+        self.words.add(keys)
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; call with a few hundred kilobytes of text at once."""
-        split = [text.encode().split() for text in texts]
-        if len(self.words) > self.known:
-            self.forget_words()
-        if len(self.pieces) > self.known:
+        """Ids of each text."""
+        ids, cuts = self.encode_bytes(*text_buffers(pa.array(texts, pa.string())))
+        return np.split(ids, cuts[1:-1])
+
+    def encode_bytes(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts ``data[offs[i]:offs[i + 1]]`` one after the other, and where each begins, and the end."""
+        data, offs = data[offs[0] : offs[-1]], offs - offs[0]
+        if max(self.words.n, self.pieces.n) > self.known:
             self.forget()
-        number = self.words.__getitem__
-        numbers = [np.fromiter(map(number, words), np.int64, len(words)) for words in split]
-        if self.words.new:
-            self._learn(self.words.new)
-            self.words.new = []
-        at = self.rows[np.concatenate(numbers)].ravel()
-        begin = self.begin[at]
-        size = self.begin[at + 1] - begin
-        after = np.cumsum(size)
-        ids = self.flat[np.arange(after[-1] if len(after) else 0) + np.repeat(begin - (after - size), size)].astype(np.uint32)
-        words_to = 3 * np.cumsum([len(x) for x in numbers])
-        cuts = np.concatenate([[0], after])[words_to]
-        return np.split(ids, cuts[:-1])
+        starts, ends, word_lo = W.find_words(data, offs, W.NOT_SPACE)
+        keys, first, inverse = np.unique(W.hash_words(data, starts, ends, fold=False), return_index=True, return_inverse=True)
+        place = self.words.find(keys)
+        if len(new := np.flatnonzero(place < 0)):
+            at = first[new]
+            self._learn([data[a:b].tobytes() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], keys[new])
+            place = self.words.find(keys)
+        rows = self.rows[place]
+        sizes = (self.begin[rows + 1] - self.begin[rows]).sum(axis=1)[inverse]
+        cuts = np.append(0, np.cumsum(sizes))[word_lo]
+        out = np.zeros(int(sizes.sum()), np.uint32)
+        done = 0
+        for lo in range(0, len(inverse), self._STEP):
+            at = rows[inverse[lo : lo + self._STEP]].ravel()
+            begin = self.begin[at]
+            size = self.begin[at + 1] - begin
+            after = np.cumsum(size)
+            out[done : done + int(after[-1])] = self.flat[np.arange(after[-1]) + np.repeat(begin - (after - size), size)]
+            done += int(after[-1])
+        return out, cuts
 
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -270,11 +327,11 @@ def cut_into_pieces(documents: DataFrame, path: str, capacity: int, end_id: int,
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             keys = batch.column(0).to_pylist()
-            _, offs = text_buffers(batch.column(1))
+            flat, offs = text_buffers(batch.column(1))
             for lo, hi in chunks(offs, 1 << 19):
-                texts = [x or "" for x in batch.column(1).slice(lo, hi - lo).to_pylist()]
-                for key, ids in zip(keys[lo:hi], encoder.encode_many(texts), strict=True):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                found, cuts = encoder.encode_bytes(flat, offs[lo : hi + 1])
+                for key, a, b in zip(keys[lo:hi], cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    ids = np.append(found[a:b], np.uint32(end_id)).astype("<u4")
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         part = ids[start : start + capacity]
                         for column, value in zip(rows, (key, k, start, len(part), zlib.crc32(part.tobytes())), strict=True):
@@ -307,7 +364,7 @@ def _placer(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 def pack(documents: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for each piece of each document.
 
-    The tokens are computed once and the pieces written to the checkpoint folder.  The driver sees one count for
+    The tokens are computed once and the pieces written below the checkpoint folder.  The driver sees one count for
     each length (at most ``capacity``) and the plan, whose size follows the number of distinct lengths, not of
     documents.  Ranks within a length are counted in salted groups, about as many as each holds rows, so a length
     that a third of all documents share is dealt over many tasks.
@@ -316,7 +373,7 @@ def pack(documents: DataFrame, path: str, capacity: int = 4096, end_id: int = 1,
     a document of its own.  An empty table gives no rows; other columns are not read.  A document of exactly
     ``capacity`` ids is one piece; longer ones are cut and only the last piece may be shorter.
     """
-    pieces = cut(cut_into_pieces(documents, path, capacity, end_id, text, doc_id))
+    pieces = Scratch(documents.sparkSession).keep(cut_into_pieces(documents, path, capacity, end_id, text, doc_id))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = make_plan(counts, capacity)
     groups = F.create_map(*[F.lit(int(x)) for length, n in counts.items() for x in (length, max(1, round(n**0.5)))]) if counts else F.create_map(F.lit(0), F.lit(1))

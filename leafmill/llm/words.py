@@ -27,6 +27,9 @@ _factor_rng = np.random.default_rng(20240301)
 _factors: list[np.uint64] = []
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
+#: Stands for the empty word, which is never found in a text.
+EMPTY = _U(0x5851F42D4C957F2D)
+
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 FOLD_BYTES = FOLD.tobytes()

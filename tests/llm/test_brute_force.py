@@ -244,3 +244,24 @@ def test_plan_uses_every_piece_once(counts):
 def test_exact_complements_come_first():
     plan = packing.make_plan({7: 1, 5: 2, 3: 1, 4: 1, 1: 1, 6: 1, 2: 1}, 10)
     assert plan.sequences == 4  # 33 tokens: 7+3, 6+4, 5+5, 2+1
+
+
+def test_sum_index_equals_brute_force():
+    """Whatever is used up in between, a gap is filled if and only if one, two or three available lengths fill it."""
+    import itertools
+
+    rng = np.random.default_rng(6)
+    left = rng.integers(0, 3, 31)
+    left[0] = 0
+    index = packing.SumIndex(left)
+    while left.sum():
+        gap, beside = int(rng.integers(1, 31)), int(rng.choice(np.flatnonzero(left)))
+        free = left.copy()
+        free[beside] -= 1
+        pool = np.repeat(np.arange(31), free).tolist()
+        want = {sum(c) for k in (1, 2, 3) for c in itertools.combinations(pool, k)}
+        got = index.fill(gap, (beside,))
+        assert (got is not None) == (gap in want) and (got is None or sum(got) == gap)
+        for part in (beside, *(got or ())):
+            left[part] -= 1
+        assert left.min() >= 0
