@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import cut, load
+from .tables import bounded_batches, cut, load
 
 _U = np.uint64
 #: Positions that one cursor covers.
@@ -210,6 +210,7 @@ def decontaminate(
     of the documents are kept, whatever their names (the three added ones must be free).
     """
     spark = documents.sparkSession
+    bounded_batches(spark)
     added = {"_n_words", "_items", "_spans", "decon_n_words", "decon_items", "decon_spans"}
     if taken := added & set(documents.columns):
         raise ValueError(f"columns {sorted(taken)} are used by this operator")

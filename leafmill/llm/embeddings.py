@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .tables import cut, load
+from .tables import bounded_batches, cut, load
 
 
 @dataclass
@@ -213,6 +213,7 @@ def near_vectors(
     id), kept.  Rows of one id are counted as vectors of their own and share a component.  Empty tables give no rows;
     other columns are not read.
     """
+    bounded_batches(embeddings.sparkSession)
     rows = embeddings.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"))
     good = F.expr("vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(vector, x -> x <> 0)")
     usable = rows.where("vec_id is not null").where(good)

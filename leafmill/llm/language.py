@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .tables import load
+from .tables import bounded_batches, load
 
 _U = np.uint64
 #: Characters that are worked on at a time; a longer text is cut between words.
@@ -164,6 +164,7 @@ def fit(rows: DataFrame, orders: int = 4, rows_per_language: int = 3000, seed: i
     with the languages that have it, so the model grows with the sample and not with the square of the languages.
     Rows with a null language, text or doc_id teach nothing; no rows give a model without languages.
     """
+    bounded_batches(rows.sparkSession)
     rows = rows.where("lang is not null and text is not null and doc_id is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
@@ -257,6 +258,7 @@ def identify(documents: DataFrame, model: LanguageModel, text: str = "text") ->
     """
     if taken := {"lang_pred", "lang_score"} & set(documents.columns):
         raise ValueError(f"columns {sorted(taken)} are used by this operator")
+    bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index(text)
     schema = T.StructType([*documents.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import connected_components
-from .tables import Scratch, load
+from .tables import Scratch, bounded_batches, load
 
 _U = np.uint64
 
@@ -169,6 +169,7 @@ def near_duplicates(
     read whole, each in memory on its own.  Repeated rows count as one document each time; ties go to the smallest
     doc_id.  Empty tables give no rows; other columns are not read, whatever their names.
     """
+    bounded_batches(documents.sparkSession)
     scratch = Scratch(documents.sparkSession)
     rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     signed = scratch.keep(rows.mapInArrow(partial(_sign, size=shingle, tuples=tuples, width=width), SIGNED))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import Scratch, load
+from .tables import Scratch, bounded_batches, load
 from .words import chunks, text_buffers
 
 
@@ -373,6 +373,7 @@ def pack(documents: DataFrame, path: str, capacity: int = 4096, end_id: int = 1,
     a document of its own.  An empty table gives no rows; other columns are not read.  A document of exactly
     ``capacity`` ids is one piece; longer ones are cut and only the last piece may be shorter.
     """
+    bounded_batches(documents.sparkSession)
     pieces = Scratch(documents.sparkSession).keep(cut_into_pieces(documents, path, capacity, end_id, text, doc_id))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = make_plan(counts, capacity)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import cut, load
+from .tables import bounded_batches, cut, load
 
 _U = np.uint64
 #: Bits of a text's digest that tell texts of one doc_id apart.
@@ -133,6 +133,7 @@ def repeated_factors(documents: DataFrame, window: int = 50, gram: int = 8, doc_
     all its words, and only the smallest goes on.  Blocks are grouped by hash with map-side minima, so a passage
     that very many documents share costs one row for each task, and the join back is split where it is skewed.
     """
+    bounded_batches(documents.sparkSession)
     rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null")
     signed = cut(rows.mapInArrow(partial(_sign, window=window, gram=gram), "doc_id long, n_words long, lo long, hi long, anchors array<long>"))
     long = signed.where(F.col("n_words") >= window)

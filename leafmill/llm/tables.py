@@ -29,6 +29,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "leafmill-checkpoints"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers in batches of about 4 MB, unless the session names a size.
+
+    Spark's default follows the number of rows, so long texts would take hundreds of MB in each worker and, beside the
+    heap, in each executor.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, "4m")
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Write a frame to the shared checkpoint folder and read it from there."""
     ensure_checkpoint_dir(frame.sparkSession)

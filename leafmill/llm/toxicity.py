@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .tables import load
+from .tables import bounded_batches, load
 
 
 @dataclass
@@ -180,6 +180,7 @@ def fit(
     once.  The model holds at most ``most_words`` words per category.  Null labels, keys and texts
     teach nothing; labels of one key count once, the larger ones.
     """
+    bounded_batches(documents.sparkSession)
     marked = labels.select(F.col(f"`{key}`").alias("key"), *[c.cast("double").alias(f"y{i}") for i, c in enumerate(categories.values())]).dropna()
     names = [f"y{i}" for i in range(len(categories))]
     marked = marked.groupBy("key").agg(*[F.max(n).alias(n) for n in names])
@@ -253,6 +254,7 @@ def classify(documents: DataFrame, chain: list[Link], text: str = "text") -> Dat
     added = [f"{p}_{link.category}" for link in chain for p in ("p", "is")]
     if taken := set(added) & set(documents.columns):
         raise ValueError(f"columns {sorted(taken)} are used by this operator")
+    bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(chain)
     at = documents.columns.index(text)
 
