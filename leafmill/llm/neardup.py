@@ -193,18 +193,26 @@ def near_duplicates(
     sets = rows.join(wanted, "doc_id", "left_semi").mapInArrow(partial(_sets, size=shingle), "c long, shingles array<long>")
     sets = scratch.keep(sets.join(nodes.select("c"), "c", "left_semi").dropDuplicates(["c"]))
 
-    links, label = None, None
-    for turn in range(star_rounds + 1):
-        live = nodes.withColumn("label", F.col("node")) if label is None else nodes.join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
-        live = scratch.keep(live.select("c", "node", "label", "n", *[f"p{i}" for i in range(PARITY)], "keys", "buckets"))
-        pairs = scratch.keep(_stars(live, turn, percent) if turn < star_rounds else _rest(live, tuples, percent))
-        scratch.drop(live)
-        found = _linked(pairs, sets, percent)
-        before, links = links, scratch.keep(found if links is None else links.unionByName(found), pairs)
-        scratch.drop(before, label)
-        component = connected_components(links, scratch=scratch)
-        label = scratch.keep(component)
-    scratch.drop(sets, nodes, links)
+    links, label = None, scratch.keep(nodes.groupBy("node").agg(F.col("node").alias("component")))
+    for turn in range(star_rounds):
+        live = scratch.keep(_labelled(nodes, label))
+        pairs = scratch.keep(_stars(live, turn, percent), live)
+        found = scratch.keep(_linked(pairs, sets, percent), pairs)
+        label = scratch.keep(_nearer(label, found), label)
+        links = scratch.keep(found if links is None else links.unionByName(found), links, found)
+    if links is not None:
+        label = scratch.keep(connected_components(links, scratch=scratch), label, links)
+    live = scratch.keep(_labelled(nodes, label))
+    pairs = scratch.keep(_rest(live, tuples, percent), live)
+    found = scratch.keep(_linked(pairs, sets, percent), pairs, sets)
+    # Links that are left join whole components.
+    of = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"{side}_component"))
+    joined = found.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    joined = joined.select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b"))
+    above = connected_components(joined, scratch=scratch).select(F.col("node").alias("component"), F.col("component").alias("least"))
+    above = scratch.keep(above, found)
+    every = nodes.select("node").distinct().join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    label = scratch.keep(every.join(above, "component", "left").select("node", F.coalesce("least", "component").alias("component")), label, nodes)
 
     class_of = classes.join(label, "node", "left").select(F.col("c").alias("set_lo"), "set_hi", F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", "n", "set_lo", "set_hi").join(class_of, ["set_lo", "set_hi"], "left")
@@ -212,6 +220,24 @@ def near_duplicates(
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _labelled(nodes: DataFrame, label: DataFrame) -> DataFrame:
+    """``nodes`` with the label of their component so far."""
+    named = nodes.join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    return named.select("c", "node", "label", "n", *[f"p{i}" for i in range(PARITY)], "keys", "buckets")
+
+
+def _nearer(label: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels after one round of links: the least of a node's and its partners' labels, then that label's own label.
+
+    Nodes of one label are connected, though connected nodes need not have one label yet.
+    """
+    both = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    beside = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
+    once = label.join(beside, "node", "left").select("node", F.least("component", "least").alias("component"))
+    up = once.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    return once.join(up, "component", "left").select("node", F.least("component", "least").alias("component"))
+
+
 def _stars(live: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs of each class and the closest hub, in this turn's order, of its buckets with several components."""
     placed = live.select(F.explode("buckets").alias("bucket"), "c", "label")

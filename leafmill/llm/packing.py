@@ -9,6 +9,7 @@ patterns with multiplicities; pieces find their place by their rank within their
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -217,7 +218,9 @@ class WordEncoder:
     #: Words whose ids are put together at a time.
     _STEP = 1 << 18
 
-    def __init__(self, path: str, known: int = 1_000_000):
+    def __init__(self, path: str, known: int = 300_000):
+        # Tasks share the cores; threads of the tokenizer's own would only keep memory.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -70,7 +70,7 @@ class Scratch:
         """``frame`` as a written table; the tables it supersedes go."""
         self.written += 1
         name = f"{self.root}/{self.written}"
-        frame.write.option("compression", "zstd").parquet(name)
+        frame.write.option("compression", "snappy").parquet(name)
         out = self.spark.read.schema(frame.schema).parquet(name)
         self.drop(*superseded)
         self.tables.append((out, name))

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Longer words are hashed one by one, which keeps the polynomial short.
 LONG = 64
 
