@@ -8,7 +8,7 @@ only be shared where both halves are shared, so halves that occur once are dropp
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -148,7 +148,7 @@ def near_duplicates(
     percent: int = 80,
     tuples: int = 12,
     width: int = 2,
-    star_rounds: int = 3,
+    star_rounds: int = 2,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``documents``.
 
@@ -193,19 +193,19 @@ def near_duplicates(
     sets = rows.join(wanted, "doc_id", "left_semi").mapInArrow(partial(_sets, size=shingle), "c long, shingles array<long>")
     sets = scratch.keep(sets.join(nodes.select("c"), "c", "left_semi").dropDuplicates(["c"]))
 
-    links, label = None, scratch.keep(nodes.groupBy("node").agg(F.col("node").alias("component")))
+    links, label = [], None
     for turn in range(star_rounds):
-        live = scratch.keep(_labelled(nodes, label))
-        pairs = scratch.keep(_stars(live, turn, percent), live)
-        found = scratch.keep(_linked(pairs, sets, percent), pairs)
-        label = scratch.keep(_nearer(label, found), label)
-        links = scratch.keep(found if links is None else links.unionByName(found), links, found)
-    if links is not None:
-        label = scratch.keep(connected_components(links, scratch=scratch), label, links)
-    live = scratch.keep(_labelled(nodes, label))
-    pairs = scratch.keep(_rest(live, tuples, percent), live)
+        live = _labelled(nodes, label)
+        pairs = scratch.keep(_stars(live, turn, percent))
+        links.append(scratch.keep(_linked(pairs, sets, percent), pairs))
+        if turn + 1 < star_rounds:
+            label = scratch.keep(_nearer(live.select("node", F.col("label").alias("component")).distinct(), links[-1]), label)
+    if links:
+        label = scratch.keep(connected_components(reduce(DataFrame.unionByName, links), scratch=scratch), label, *links)
+    pairs = scratch.keep(_rest(_labelled(nodes, label), tuples, percent))
     found = scratch.keep(_linked(pairs, sets, percent), pairs, sets)
     # Links that are left join whole components.
+    label = nodes.select("node", F.col("node").alias("component")).distinct() if label is None else label
     of = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"{side}_component"))
     joined = found.join(of("a"), "a", "left").join(of("b"), "b", "left")
     joined = joined.select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b"))
@@ -220,8 +220,10 @@ def near_duplicates(
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _labelled(nodes: DataFrame, label: DataFrame) -> DataFrame:
+def _labelled(nodes: DataFrame, label: DataFrame | None) -> DataFrame:
     """``nodes`` with the label of their component so far."""
+    if label is None:
+        return nodes.withColumn("label", F.col("node"))
     named = nodes.join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
     return named.select("c", "node", "label", "n", *[f"p{i}" for i in range(PARITY)], "keys", "buckets")
 
