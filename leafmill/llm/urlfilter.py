@@ -17,9 +17,9 @@ BROADCAST_CHARS = 8 << 20
 _SHORT = 8
 
 
-def split_url(frame: DataFrame, url: str = "url") -> DataFrame:
+def split_url(frame: DataFrame, url: str = "_url") -> DataFrame:
     """Add ``host`` and ``path``; both empty where the url is null or has no ``://``."""
-    u = f"`{url}`"
+    u = url
     after = f"if(coalesce(instr({u}, '://'), 0) = 0, '', substring({u}, instr({u}, '://') + 3))"
     frame = frame.withColumn("_after", F.expr(after))
     frame = frame.withColumn("_host", F.expr("regexp_extract(_after, '^[^/?#]*', 0)"))
@@ -38,6 +38,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     bound.  Expressions are formed once for each different host and path, so frequent URLs cost one row.  Rules
     with a null host or path are left out.  A null url, or one without ``://``, has an empty host and path, which
     a rule fits only if its own are empty too.  Repeated rows are judged alike; empty tables give no rows.
+    Columns may have any names but those that are added.
     """
     if taken := {"host", "path", "rule", "verdict"} & set(pages.columns):
         raise ValueError(f"columns {sorted(taken)} are used by this operator")
@@ -51,7 +52,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
         F.collect_set(F.when(~F.col("r_path").endswith("/"), F.length("r_path"))).alias("chars"),
         F.sum(F.length("r_host") + F.length("r_path") + 100).alias("size"),
     ).first()
-    split = split_url(pages, url)
+    split = split_url(pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_in"), F.col(f"`{url}`").alias("_url")))
     ints = lambda values: f"array({', '.join(map(str, sorted(values)))})" if values else "cast(array() AS array<int>)"
     hosts = f"transform(filter({ints(shape['labels'])}, n -> n <= size(_l)), n -> array_join(slice(_l, size(_l) - n + 1, n), '.'))"
     deep = f"transform(filter({ints(shape['segments'])}, n -> n < size(_s)), n -> concat(substring_index(path, '/', n), '/'))"
@@ -65,7 +66,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     rank = F.struct((F.length("r_host") + F.length("r_path")).alias("size"), (F.col("r_verdict") == "block").alias("block"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))
     best = met.groupBy("host", "path").agg(F.max(rank).alias("best"))
     out = split.join(best, ["host", "path"], "left")
-    return out.select(*[F.col(f"`{c}`") for c in pages.columns], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return out.select("_in.*", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op9_rules(spark: SparkSession) -> DataFrame:

@@ -89,16 +89,35 @@ def test_nested_quotes(spark, tmp_path):
         (1, 2, "user", "> > hello there\n> fine\nGood"),
         (1, 3, "assistant", "> good\n>> Fine\nBye"),
         (1, 4, "user", "> never said\nx"),
+        (1, 5, "user", "> Hello there how\n> are you\nagain"),
+        (1, 6, "user", ">again\n"),
         (2, 0, "user", None),
         (2, 1, "user", "> hello there"),
+        (3, 0, "user", "The quick brown fox jumps\nover the dog. Then it sleeps.\n\n \nEnd"),
+        (3, 1, "a", "> the quick brown fox\n> jumps over the dog.\n\n \t\n yes \n\n"),
+        (3, 2, "a", "> then it sleeps.\n> end\n"),
+        (3, 3, "a", "> yes\n> end\n"),
     ]
     folder = stored(spark, tmp_path, conversations=spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     got = quotes.op8_quotes(spark, folder)
     assert compare(got, quotes.OP8_SQL, folder) == ""
     by = {(r["conv_id"], r["turn"]): r for r in got.collect()}
-    assert [by[1, t]["parent_turn"] for t in range(5)] == [None, 0, 1, 2, None]
-    assert by[1, 3]["reply_path"] == "0/1/2/3" and by[1, 1]["said"] == "Fine" and by[1, 2]["quote_depth"] == 2
-    assert by[2, 1]["n_linked"] == 0
+    assert [by[1, t]["parent_turn"] for t in range(7)] == [None, 0, 1, 2, None, 0, 5]
+    assert [by[1, t]["position"] for t in range(7)] == [0, 1, 2, 3, 0, 4, 5] and by[1, 4]["thread_turn"] == 4
+    assert by[1, 1]["said"] == "Fine" and by[1, 2]["quote_depth"] == 2 and by[2, 1]["n_linked"] == 0
+    assert by[3, 1]["parent_turn"] == 0 and by[3, 2]["parent_turn"] == 0 and by[3, 1]["said"] == " yes "
+
+
+def test_threads_of_many_shapes(spark, tmp_path):
+    rng = random.Random(9)
+    rows = []
+    for conv in range(6):
+        rows += [(conv, 0, "u", f"m{conv} 0")]
+        for turn in range(1, 40):
+            parents = rng.sample(range(turn), k=min(turn, rng.randint(0, 2)))
+            rows.append((conv, turn, "u", "\n".join([*[f"> m{conv} {p}" for p in parents], f"m{conv} {turn}"])))
+    folder = stored(spark, tmp_path, conversations=spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert compare(quotes.op8_quotes(spark, folder), quotes.OP8_SQL, folder) == ""
 
 
 def test_vectors_with_faults_copies_and_blocks(spark, tmp_path, monkeypatch):

@@ -77,6 +77,44 @@ def test_redaction_replaces_every_base_span(spark):
     assert got[1]["text"] == "mail [EMAIL] or [PHONE]" and got[2]["text"] is None and got[3]["text"] == "clean" and got[3]["kind"] == 5
 
 
+def test_redaction_of_long_texts_and_wide_characters(spark):
+    """Against the same replacement in Python, over cells of 256 characters and characters beyond 16 bits."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for n in (3, 40, 900):
+        parts = [str(x) for x in rng.choice(["😀", "a.b@c.de", "1.2.3.4", "word", "é" * 300, "+1 (017) 555-7713", "\n"], n)]
+        texts.append(" ".join(parts))
+    out = pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), pii.Boosted([], -9.0, {})).orderBy("doc_id").collect()
+    for text, r in zip(texts, out, strict=True):
+        want, at = "", 0
+        for span in filter(None, base_spans(text).split(",")):
+            kind, a, b = span.split(":")
+            want, at = f"{want}{text[at : int(a)]}[{kind.upper()}]", int(b)
+        assert r["text"] == want + text[at:]
+
+
+def test_added_spans_of_planted_documents(spark):
+    """Secrets and telephone numbers that the base leaves out, among years, prices and words with numbers."""
+    rng = np.random.default_rng(4)
+    secret = lambda: "".join(rng.choice(list("0123456789abcdef"), 40))
+    rows, wanted = [], {}
+    for i in range(400):
+        filler = " ".join(rng.choice(["house", "1999", "12 345", "chapter_12_section", "river", "2019-2020"], 30))
+        if i % 4 == 0:
+            own = secret()
+            rows.append((i, f'{filler} token = "{own}" {filler}'))
+            wanted[i] = f"secret:{len(filler) + 10}:{len(filler) + 50}"
+        else:
+            rows.append((i, filler))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(docs)
+    assert model.least == pii.fit(docs.repartition(7)).least
+    got = {r["doc_id"]: r["spans"] for r in pii.detect(docs, model).select("doc_id", pii.joined("pii_spans").alias("spans")).collect()}
+    hits = sum(wanted[i] in got[i].split(",") for i in wanted)
+    wrong = sum(len([x for x in s.split(",") if x and x != wanted.get(i)]) for i, s in got.items())
+    assert hits >= 0.9 * len(wanted) and wrong <= 0.1 * max(1, hits)
+
+
 def test_language_accuracy_on_held_out_documents(spark):
     docs = load(spark, "/root/testdata/sf0.01", "documents")
     truth = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}

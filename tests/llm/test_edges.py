@@ -63,8 +63,26 @@ def test_quotes_with_nulls_and_long_threads(spark):
     rows = [(1, t, f"> line {t - 1}\nline {t}") for t in range(40)] + [(None, 1, "x"), (1, None, "> line 0"), (1, 3, "> line 2\nline 3")]
     out = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string"))
     got = {(r["conv_id"], r["turn"]): r for r in out.collect()}
-    assert got[1, 39]["reply_path"] == list(range(40)) and got[1, 3]["parent_turn"] == 2
-    assert got[None, 1]["reply_path"] == [1] and got[1, None]["reply_path"] is None and out.count() == len(rows)
+    assert got[1, 39]["position"] == 39 and got[1, 39]["thread_turn"] == 0 and got[1, 3]["parent_turn"] == 2
+    assert got[None, 1]["thread_turn"] == 1 and got[1, None]["thread_turn"] is None and out.count() == len(rows)
+
+
+def test_quotes_of_very_long_texts(spark):
+    rows = [(1, 0, "\n" * 100_000 + "said" + "\n \t" * 100_000), (1, 1, ">" * 100_000 + " said"), (1, 2, "> " * 50_000 + "\n" + "> said\n" * 20_000), (1, 3, "x" * 1_000_000)]
+    out = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string")).orderBy("turn").collect()
+    assert out[0]["said"] == "said" and out[1]["quote_depth"] == 100_000 and out[1]["parent_turn"] == 0 and out[2]["parent_turn"] == 0
+
+
+def test_internal_names_as_extra_columns(spark):
+    more = ["_c", "_t", "_x", "_in", "_lines", "_p", "_own", "best", "_host", "_after", "_l", "_base", "_cand", "_e", "lines", "pii_base", "full", "short", "digest", "h", "p"]
+    base = spark.createDataFrame([(1, 0, "a.b@c.de", "http://net/x"), (1, 1, "> a.b@c.de", None)], "conv_id long, turn long, text string, url string")
+    for name in more:
+        base = base.withColumn(name, F.lit(f"own {name}"))
+    for out in (quotes.link_quotes(base), urlfilter.judge(base, urlfilter.op9_rules(spark)), pii.redact(base, pii.Boosted([], -9.0, {})), pii.detect(base.drop("pii_base"), pii.Boosted([], -9.0, {}))):
+        got = out.collect()
+        assert len(got) == 2 and all(r[name] == f"own {name}" for r in got for name in more if name != "pii_base" or "pii_spans" not in out.columns)
+    with pytest.raises(ValueError):
+        pii.detect(base, pii.Boosted([], -9.0, {}))
 
 
 def test_longest_rule_wins_whatever_its_shape(spark):
