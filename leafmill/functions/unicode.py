@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import LEGACY_MARKERS, LEGACY_SOURCES, LEGACY_TARGETS
+from .text import LEGACY_SOURCES, LEGACY_TARGETS, legacy_gate
 
 
 def _by_text(function) -> Callable[[Column], Column]:
@@ -34,43 +32,54 @@ def full_casefold(value: Column) -> Column:
     return _by_text(str.casefold)(value)
 
 
+_WORD = "[A-Za-z¡-ÿ−]+"
 _TABLE = str.maketrans(LEGACY_SOURCES, LEGACY_TARGETS)
 
 
-def decode_legacy(text: str) -> tuple[str, int]:
-    """Decode legacy Vietnamese text if it has enough markers; also the number of code points that were mapped.
+def _loud(pieces: pd.Series, least: int) -> pd.Series:
+    """Which pieces have so many ASCII letters at least, all of them capitals."""
+    found = pieces.str.replace("[^A-Za-z]", "", regex=True)
+    return (found.str.len() >= least) & ~found.str.contains("[a-z]", regex=True)
 
-    Words go to capitals if their own ASCII letters, or those of their line, are all capitals (two and four at least).
-    """
-    seen = Counter(c for c in text if c in LEGACY_MARKERS)
-    if sum(seen.values()) < 4 or len(seen) < 3 or sum(seen.values()) / max(1, len(text)) < 0.002:
-        return text, 0
 
-    def capital(piece: str, least: int) -> bool:
-        letters = [c for c in piece if c.isascii() and c.isalpha()]
-        return len(letters) >= least and all(c.isupper() for c in letters)
+def _decoded(texts: pd.Series) -> pd.Series:
+    """Texts decoded from the legacy encoding, by way of one table of their lines and one of the lines' words."""
+    lines = texts.map(lambda x: x.splitlines(keepends=True)).explode().rename("line").rename_axis("text").reset_index()
+    lines["loud"] = _loud(lines["line"].str.replace("<[^>]+>", "", regex=True), 4)
+    words = lines.assign(word=lines["line"].str.findall(f"{_WORD}|[^A-Za-z¡-ÿ−]+")).explode("word")
+    is_word = words["word"].str.fullmatch(_WORD)
+    plain = words["word"].str.translate(_TABLE).where(is_word, words["word"])
+    words["plain"] = plain.where(~(is_word & (words["loud"] | _loud(words["word"], 2))), plain.str.upper())
+    return words.groupby("text", sort=False)["plain"].agg("".join).map(lambda x: unicodedata.normalize("NFC", x))
 
-    lines = []
-    for line in text.splitlines(keepends=True):
-        loud = capital(re.sub("<[^>]+>", "", line), 4)
 
-        def word(found: re.Match, loud: bool = loud) -> str:
-            plain = found[0].translate(_TABLE)
-            return plain.upper() if loud or capital(found[0], 2) else plain
+def legacy_text(value: Column) -> Column:
+    """Struct of ``text``, decoded from the legacy Vietnamese encoding if it has enough markers, and ``changed``, how
+    many of its characters the encoding maps; null for null.
 
-        lines.append(re.sub("[A-Za-z¡-ÿ−]+", word, line))
-    return unicodedata.normalize("NFC", "".join(lines)), sum(ord(c) in _TABLE for c in text)
+    Words go to capitals if their own ASCII letters, two at least, or those of their line outside of tags, four at
+    least, are all capitals.
+    """
 
+    def run(values: pd.Series, wanted: pd.Series) -> pd.Series:
+        some = values[wanted.fillna(False).astype(bool)].reset_index(drop=True)
+        out = values.copy()
+        if len(some):
+            out[wanted.fillna(False).astype(bool)] = _decoded(some).reindex(range(len(some))).to_numpy()
+        return out
 
-def legacy_text(value: Column) -> Column:
-    """Column form of :func:`decode_legacy`: struct of ``text`` and ``changed``."""
-    return F.udf(lambda x: (None, 0) if x is None else decode_legacy(x), "struct<text:string,changed:long>", useArrow=True)(value)
+    gate = legacy_gate(value)["is_legacy"]
+    mapped = F.length(value) - F.length(F.translate(value, LEGACY_SOURCES, ""))
+    text = F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)(value, gate)
+    return F.struct(text.alias("text"), F.when(gate, mapped).otherwise(0).cast("long").alias("changed"))
 
 
 def restore_case(text: str, capitals: list[str]) -> tuple[str, int]:
-    """Put words that a capitals font shows in lower case back to capitals, longest first."""
-    changed = 0
-    for source in sorted({c.strip() for c in capitals if c.strip() and c.strip() != c.strip().upper()}, key=len, reverse=True):
-        text, n = re.subn(re.escape(source), source.upper(), text, flags=re.IGNORECASE)
-        changed += n
-    return text, changed
+    """Put phrases that a capitals font shows in lower case back to capitals, the longest phrase at a place first."""
+    import re
+
+    wanted = {x.strip() for x in capitals} - {""}
+    phrases = sorted((x for x in wanted if x != x.upper()), key=lambda x: (-len(x), x))
+    if not phrases:
+        return text, 0
+    return re.subn("|".join(map(re.escape, phrases)), lambda found: found[0].upper(), text, flags=re.IGNORECASE)

@@ -4,58 +4,76 @@ from __future__ import annotations
 
 import ipaddress
 import re
-from urllib.parse import quote, unquote, urljoin, urlsplit
+from urllib.parse import unquote_to_bytes, urljoin
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: characters that need no escape in any URL component.
-UNRESERVED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
-_SUB = "!$&'()*+,;="
+# The parts of a URL with an authority (RFC 3986, appendix B).
+_PARTS = re.compile(r"(?s)([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#]*)@)?(\[[^\]/?#]*\]|[^/?#:@]*)(?::([0-9]*))?(/[^?#]*|)(?:\?([^#]*))?(?:#.*)?")
+# Characters that stand for themselves in a path segment (RFC 3986, section 3.3), less the unreserved ones.
+_SEGMENT = b"!$&'()*+,;=:@"
+_PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-._~")
+_DEFAULT_PORTS = {"http": 80, "https": 443}
+_ESCAPE = re.compile(rb"%([0-9A-Fa-f]{2})|(.)", re.S)
 
 
-def component(value: str, safe: str) -> str:
-    """Escapes in capitals, unreserved characters unescaped, stray percent signs and unsafe characters escaped."""
-    value = re.sub(r"%(?![0-9A-Fa-f]{2})", "%25", quote(value, safe=safe + "%"))
-    plain = lambda m: chr(int(m[1], 16)) if chr(int(m[1], 16)) in UNRESERVED else m[0].upper()
-    return re.sub("%([0-9A-Fa-f]{2})", plain, value)
+def _spelt(text: str, keep: bytes) -> str:
+    """Percent-encoding normalised (section 6.2.2): each byte plain where it may be, else as an escape in capitals."""
+    own = _PLAIN | frozenset(keep)
 
+    def one(found: re.Match) -> bytes:
+        byte = int(found[1], 16) if found[1] else found[2][0]
+        plain = byte in _PLAIN if found[1] else byte in own
+        return bytes([byte]) if plain else b"%%%02X" % byte
 
-def dotless(path: str) -> str:
-    out: list[str] = []
-    for part in path.split("/"):
-        if part == "..":
-            if out and out[-1]:
-                out.pop()
-        elif part != ".":
-            out.append(part)
-    done = "/".join(out)
-    if path.rsplit("/", 1)[-1] in ("", ".", "..") and "/" in path and not done.endswith("/"):
-        done += "/"
-    return done or "/"
+    return _ESCAPE.sub(one, text.encode()).decode("ascii")
+
+
+def _resolved(path: str) -> str:
+    """Dot segments removed (section 5.2.4), reading the path from left to right."""
+    done: list[str] = []
+    segments = path.split("/")[1:]
+    for segment in segments:
+        if segment == ".." and done:
+            done.pop()
+        elif segment not in (".", ".."):
+            done.append(segment)
+    if segments and segments[-1] in (".", ".."):
+        done.append("")
+    return "/" + "/".join(done)
+
+
+def _host(name: str) -> str:
+    """An IPv6 address in its shortest form, or a name in ASCII and lower case without dots at its end."""
+    if name.startswith("["):
+        return f"[{ipaddress.IPv6Address(name[1:-1]).compressed}]"
+    plain = unquote_to_bytes(name).decode().rstrip(".")
+    if re.fullmatch(r"[A-Za-z0-9.-]+", plain):
+        return plain.lower()
+    import idna
+
+    return idna.encode(plain, uts46=True, std3_rules=True).decode("ascii").lower()
 
 
 def canonical(url: str) -> str:
     """Canonical form of an absolute http(s) URL; ValueError for one without a valid host or port."""
-    parts = urlsplit(url)
-    host = parts.hostname or ""
-    if ":" in host:
-        host = f"[{ipaddress.IPv6Address(host).compressed}]"
-    else:
-        host = unquote(host, errors="strict").rstrip(".")
-        if not host.isascii() or not re.fullmatch(r"[A-Za-z0-9.-]+", host):
-            import idna
-
-            host = idna.encode(host, uts46=True, std3_rules=True).decode("ascii")
-        host = host.lower()
-    scheme, port = parts.scheme.lower(), parts.port
-    if port is not None and (scheme, port) not in (("http", 80), ("https", 443)):
-        host += f":{port}"
-    if parts.username is not None:
-        user = ":".join(component(x, _SUB + ":") for x in (parts.username, parts.password) if x is not None)
-        host = f"{user}@{host}"
-    query = component(parts.query, f"/?:@{_SUB}")
-    return f"{scheme}://{host}{dotless(component(parts.path or '/', f'/:@{_SUB}'))}" + (f"?{query}" if query else "")
+    found = _PARTS.fullmatch(url)
+    if not found or not found[3]:
+        raise ValueError("no absolute URL with a host")
+    scheme, user, host, port, path, query = (found[1].lower(), *found.groups()[1:])
+    if port and int(port) > 65535:
+        raise ValueError("no valid port")
+    out = [scheme, "://"]
+    if user is not None:
+        out += [_spelt(user, b"!$&'()*+,;=:"), "@"]
+    out.append(_host(host))
+    if port and int(port) != _DEFAULT_PORTS.get(scheme):
+        out += [":", str(int(port))]
+    out.append(_resolved(_spelt(path or "/", _SEGMENT + b"/")))
+    if query:
+        out += ["?", _spelt(query, _SEGMENT + b"/?")]
+    return "".join(out)
 
 
 def _or_none(function, *values):

@@ -51,27 +51,12 @@ def fallback_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.fallback_ends(D.items(spark, sf_dir), keep)
 
 
-_CHAIN = f"""{D.ITEMS}, walk AS (SELECT item_id AS root, CAST(0 AS BIGINT) AS hop, item_id FROM items WHERE item_id % 10 = 1
-  UNION ALL SELECT root, hop + 1, b.item_id FROM walk JOIN items a ON a.item_id = walk.item_id JOIN items b ON b.item_id = a.fallback WHERE hop < 5)"""
-
-
-def _spine_chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    items = D.items(spark, sf_dir)
-    return items, P.chains(items, items.where("item_id % 10 = 1"), 5, keep)
+_CHAIN = f"""{D.ITEMS}, walk AS (SELECT item_id AS root, CAST(0 AS BIGINT) AS hop, item_id, [item_id] AS seen FROM items
+  UNION ALL SELECT root, hop + 1, b.item_id, list_append(seen, b.item_id) FROM walk JOIN items a ON a.item_id = walk.item_id JOIN items b ON b.item_id = a.fallback WHERE NOT list_contains(seen, b.item_id))"""
 
 
 @query(f"WITH RECURSIVE {_CHAIN} SELECT root, hop, item_id FROM walk")
 def spine_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fallback chains of every tenth item, five hops deep, circles run on, as the SQL has it."""
-    return _spine_chains(spark, sf_dir)[1]
-
-
-_WHOLE_CHAIN = f"""{D.ITEMS}, walk AS (SELECT item_id AS root, CAST(0 AS BIGINT) AS hop, item_id, [item_id] AS seen FROM items
-  UNION ALL SELECT root, hop + 1, b.item_id, list_append(seen, b.item_id) FROM walk JOIN items a ON a.item_id = walk.item_id JOIN items b ON b.item_id = a.fallback WHERE NOT list_contains(seen, b.item_id))"""
-
-
-@query(f"WITH RECURSIVE {_WHOLE_CHAIN} SELECT root, hop, item_id FROM walk")
-def spine_chains_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fallback chains of all items until they end or meet an item again."""
     items = D.items(spark, sf_dir)
     return P.whole_chains(items, items, keep)
@@ -79,13 +64,6 @@ def spine_chains_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_CHAIN} SELECT root AS item_id FROM walk JOIN items USING (item_id) GROUP BY root HAVING NOT bool_or(media_type IN ('application/xhtml+xml'))")
 def spine_no_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth item, if its chain has no content document in five hops, as the SQL has it."""
-    items, chain = _spine_chains(spark, sf_dir)
-    return P.without_supported(chain, items, ["application/xhtml+xml"])
-
-
-@query(f"WITH RECURSIVE {_WHOLE_CHAIN} SELECT root AS item_id FROM walk JOIN items USING (item_id) GROUP BY root HAVING NOT bool_or(media_type IN ('application/xhtml+xml'))")
-def spine_no_supported_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose whole chain has no content document."""
     items = D.items(spark, sf_dir)
     return P.without_supported(P.whole_chains(items, items, keep), items, ["application/xhtml+xml"])
@@ -163,14 +141,6 @@ def zip_name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.repeated(D.blocks(spark, sf_dir).where("block is not null").select(X.casefold(F.col("block")).alias("canonical")), "canonical")
 
 
-@query(f"""WITH {D.ITEMS}, n AS (SELECT item_id % 7 AS pkg, CASE item_id % 4 WHEN 0 THEN 'toc' WHEN 1 THEN 'page-list x' WHEN 2 THEN 'landmarks' ELSE 'other' END AS types FROM items WHERE item_id <= 30)
-SELECT pkg, count(*) FILTER (WHERE types = 'toc') AS n_toc, count(*) FILTER (WHERE types = 'page-list x') AS n_pages, count(*) FILTER (WHERE types = 'landmarks') AS n_landmarks,
-  n_toc = 1 AND n_pages <= 1 AND n_landmarks <= 1 AS ok FROM n GROUP BY pkg""")
-def nav_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Navigation elements of packages among the first thirty items, as the SQL has it."""
-    return P.navigation_counts(D.items(spark, sf_dir).where("item_id <= 30").select((F.col("item_id") % 7).alias("pkg"), _types().alias("types")))
-
-
 def _types() -> F.Column:
     k = F.col("item_id") % 4
     return F.when(k == 0, "toc").when(k == 1, "page-list x").when(k == 2, "landmarks").otherwise("other")
@@ -179,7 +149,7 @@ def _types() -> F.Column:
 @query(f"""WITH {D.ITEMS}, n AS (SELECT item_id // 5 AS pkg, CASE item_id % 4 WHEN 0 THEN 'toc' WHEN 1 THEN 'page-list x' WHEN 2 THEN 'landmarks' ELSE 'other' END AS types FROM items)
 SELECT pkg, count(*) FILTER (WHERE types = 'toc') AS n_toc, count(*) FILTER (WHERE types = 'page-list x') AS n_pages, count(*) FILTER (WHERE types = 'landmarks') AS n_landmarks,
   n_toc = 1 AND n_pages <= 1 AND n_landmarks <= 1 AS ok FROM n GROUP BY pkg""")
-def nav_cardinality_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nav_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Navigation elements of packages of five items each, all items included."""
     return P.navigation_counts(D.items(spark, sf_dir).select(F.expr("item_id div 5").alias("pkg"), _types().alias("types")))
 

@@ -162,18 +162,6 @@ def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.rosters(rows.select("doc_id", "band", "r.baseline", "r.cells"), 10.0)
 
 
-_RECTS = "SELECT doc_id, pos AS rect, CAST(pos * 13 % 400 AS DOUBLE) AS x0, baseline - 3 AS y0, CAST(pos * 13 % 400 + 5 AS DOUBLE) AS x1, baseline + 30 * (pos % 3) AS y1 FROM geo_lines WHERE pos % 4 = 2"
-_BOXES = "SELECT doc_id, left_x AS x0, baseline - 8 AS y0, right_x AS x1, baseline AS y1 FROM geo_lines WHERE pos % 3 = 0"
-
-
-@query(f"""WITH {D.GEO_LINES}, r AS ({_RECTS}), b AS ({_BOXES})
-SELECT doc_id, rect, EXISTS (SELECT 1 FROM b WHERE b.doc_id = r.doc_id AND r.x0 < b.x1 AND r.x1 > b.x0 AND r.y0 < b.y1 AND r.y1 > b.y0) AS overlaps FROM r""")
-def rect_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rectangles of every fourth line that meet text boxes of every third, as the SQL has it."""
-    lines = D.geo_lines(spark, sf_dir)
-    return _rect_overlap(lines.where("pos % 4 = 2"), lines.where("pos % 3 = 0"))
-
-
 def _rect_overlap(above: DataFrame, below: DataFrame) -> DataFrame:
     x = (F.col("pos") * 13 % 400).cast("double")
     rects = above.select("doc_id", F.col("pos").alias("rect"), x.alias("x0"), (F.col("baseline") - 3).alias("y0"), (x + 5).alias("x1"), (F.col("baseline") + 30 * (F.col("pos") % 3)).alias("y1"))
@@ -187,7 +175,7 @@ _ALL_BOXES = "SELECT doc_id, left_x AS x0, baseline - 8 AS y0, right_x AS x1, ba
 
 @query(f"""WITH {D.GEO_LINES}, r AS ({_ALL_RECTS}), b AS ({_ALL_BOXES})
 SELECT doc_id, rect, EXISTS (SELECT 1 FROM b WHERE b.doc_id = r.doc_id AND r.x0 < b.x1 AND r.x1 > b.x0 AND r.y0 < b.y1 AND r.y1 > b.y0) AS overlaps FROM r""")
-def rect_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rect_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles of all lines that meet text boxes of all lines."""
     lines = D.geo_lines(spark, sf_dir)
     return _rect_overlap(lines, lines)
@@ -195,12 +183,6 @@ def rect_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {D.SPANS} SELECT doc_id, line, arg_max(pos, (length({s_strip('text')}), -pos)) AS pos, arg_max(text, (length({s_strip('text')}), -pos)) AS text FROM spans GROUP BY doc_id, line")
 def longest_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Main spans of the first three lines, as the SQL has it."""
-    return L.main_spans(D.first_spans(spark, sf_dir))
-
-
-@query(f"WITH {D.WHOLE_SPANS} SELECT doc_id, line, arg_max(pos, (length({s_strip('text')}), -pos)) AS pos, arg_max(text, (length({s_strip('text')}), -pos)) AS text FROM spans GROUP BY doc_id, line")
-def longest_span_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main spans of all lines."""
     return L.main_spans(D.spans(spark, sf_dir))
 
@@ -209,14 +191,8 @@ def _styled(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id").agg(F.bool_or(F.col("flags").bitwiseAND(F.lit(19)) != 0).alias("styled"))
 
 
-@query(f"WITH {D.SPANS} SELECT doc_id, bool_or((flags & 19) <> 0) AS styled FROM spans WHERE pos < 2 GROUP BY doc_id")
+@query(f"WITH {D.SPANS} SELECT doc_id, bool_or((flags & 19) <> 0) AS styled FROM spans GROUP BY doc_id")
 def styled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with styled spans among the first two words of the first three lines, as the SQL has it."""
-    return _styled(D.first_spans(spark, sf_dir).where("pos < 2"))
-
-
-@query(f"WITH {D.WHOLE_SPANS} SELECT doc_id, bool_or((flags & 19) <> 0) AS styled FROM spans GROUP BY doc_id")
-def styled_pages_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with styled spans anywhere."""
     return _styled(D.spans(spark, sf_dir))
 

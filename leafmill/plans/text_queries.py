@@ -223,12 +223,6 @@ def _inline_markup(spans: DataFrame) -> DataFrame:
 
 @query(f"WITH {D.SPANS} SELECT doc_id, line, pos, {s_markup('text', 'flags')} AS markup FROM spans")
 def inline_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markup of styled spans in the first three lines, as the SQL has it."""
-    return _inline_markup(D.first_spans(spark, sf_dir))
-
-
-@query(f"WITH {D.WHOLE_SPANS} SELECT doc_id, line, pos, {s_markup('text', 'flags')} AS markup FROM spans")
-def inline_markup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markup of all styled spans."""
     return _inline_markup(D.spans(spark, sf_dir))
 

@@ -89,15 +89,6 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPANS = f"""{BLOCKS}, spans AS (SELECT doc_id, line, pos, text, {list(_FONTS)!r}[pos % 5 + 1] AS font, (pos * 7 + doc_id) % 32 AS flags
-  FROM (SELECT doc_id, pos AS line, CAST(generate_subscripts(w, 1) - 1 AS BIGINT) AS pos, unnest(w) AS text FROM (SELECT doc_id, pos, string_split(block, ' ') AS w FROM blocks WHERE pos < 3)))"""
-
-
-def first_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of the first three lines only, as ``SPANS`` has them."""
-    return spans(spark, sf_dir).where("line < 3")
-
-
-WHOLE_SPANS = f"""{BLOCKS}, spans AS (SELECT doc_id, line, pos, text, {list(_FONTS)!r}[pos % 5 + 1] AS font, (pos * 7 + doc_id) % 32 AS flags
   FROM (SELECT doc_id, pos AS line, CAST(generate_subscripts(w, 1) - 1 AS BIGINT) AS pos, unnest(w) AS text FROM (SELECT doc_id, pos, string_split(block, ' ') AS w FROM blocks)))"""
 
 

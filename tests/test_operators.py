@@ -122,10 +122,12 @@ def test_xml_refuses_entities_and_keeps_order():
         scan.xml_rows(b'<!DOCTYPE a [<!ENTITY x "y">]><a>&x;</a>')
 
 
-def test_legacy_text_needs_enough_markers():
-    assert unicode.decode_legacy("plain text") == ("plain text", 0)
-    text, changed = unicode.decode_legacy("¸µ¶¹ a¸")
-    assert changed == 5 and "¸" not in text
+def test_legacy_text_needs_enough_markers(spark):
+    rows = ["plain text", "¸µ¶¹ a¸", "¸µ¶¹\nTH¸NG <b>ABCD</b> x¸\r\nABC ¸µ¶¹ DE¸", None]
+    got = [r["d"] for r in spark.createDataFrame(list(enumerate(rows)), "i int, t string").orderBy("i").select(unicode.legacy_text(F.col("t")).alias("d")).collect()]
+    assert tuple(got[0]) == ("plain text", 0) and got[1]["changed"] == 5 and got[1]["text"] == "áàảạ aá"
+    assert got[2]["text"] == "áàảạ\nTHÁNG <b>ABCD</b> xá\r\nABC ÁÀẢẠ DEÁ" and got[3]["text"] is None
+    assert unicode.restore_case("the Old man", ["old", "The old", "MAN"]) == ("THE OLD man", 1)
 
 
 def test_footnotes_and_ornaments(spark):

@@ -1,12 +1,8 @@
 """Queries that must cover whole inputs, on inputs longer than any prefix."""
 
-import numpy as np
 import pytest
 
-import corpus_pipeline
 import leafmill.catalogue as catalogue
-from leafmill.llm import embeddings, toxicity
-from leafmill.llm import words as W
 from leafmill.operators import package
 from leafmill.plans.checkpoints import keep
 
@@ -17,7 +13,7 @@ def long_document(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name,rows", [("span_decode", 36), ("inline_markup_whole", 36), ("longest_span_whole", 9)])
+@pytest.mark.parametrize("name,rows", [("span_decode", 36), ("inline_markup", 36), ("longest_span", 9)])
 def test_spans_of_all_lines(spark, long_document, name, rows):
     got = catalogue.QUERIES[name](spark, long_document)
     assert got.count() == rows and {r["line"] for r in got.select("line").collect()} == set(range(9))
@@ -26,7 +22,7 @@ def test_spans_of_all_lines(spark, long_document, name, rows):
 def test_styles_of_late_words_count(spark, tmp_path):
     """Flags are (7 * pos + doc_id) % 32: of document 4 the first word has none of the styles, later ones have."""
     spark.createDataFrame([(4, "a"), (36, "a\nb\nc\nd"), (68, "a b c d e")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["styled"] for r in catalogue.QUERIES["styled_pages_whole"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["styled"] for r in catalogue.QUERIES["styled_pages"](spark, str(tmp_path)).collect()}
     assert got == {4: False, 36: False, 68: True}
 
 
@@ -48,52 +44,11 @@ def test_chains_to_their_end_and_once_round_circles(spark):
 
 def test_navigation_of_all_items_is_counted(spark, tmp_path):
     spark.range(1, 1001).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
-    got = catalogue.QUERIES["nav_cardinality_whole"](spark, str(tmp_path)).collect()
+    got = catalogue.QUERIES["nav_cardinality"](spark, str(tmp_path)).collect()
     assert len(got) == 201 and sum(r["n_toc"] + r["n_pages"] + r["n_landmarks"] for r in got) == 750
     assert {r["ok"] for r in got} == {True, False}
 
 
-@pytest.mark.parametrize("common,rows", [(0.0, 20_000), (0.6, 1_000_000), (0.8, 1_000_000), (0.95, 20_000)])
-def test_tables_for_vectors_that_share_a_direction(spark, common, rows):
-    """Codes fitted on off-centre vectors, planned for many rows, find new pairs at a cosine of 0.905."""
-    rng = np.random.default_rng(3)
-    way = embeddings.unit(rng.standard_normal((1, 64)))
-
-    def draw(n):
-        return embeddings.unit(common * way + np.sqrt(1 - common**2) * embeddings.unit(rng.standard_normal((n, 64))))
-
-    table = spark.createDataFrame([(v,) for v in draw(3000).tolist()], "vector array<double>")
-    codes = embeddings.fit(table, rows, 0.9, 0.99, sample=rows)
-    a = draw(2000)
-    for b in (rng.standard_normal(a.shape), draw(2000) - draw(2000)):
-        b = embeddings.unit(b - (b * a).sum(axis=1, keepdims=True) * a)
-        b = 0.905 * a + np.sqrt(1 - 0.905**2) * b
-        assert (codes.keys(a) == codes.keys(b)).any(axis=1).mean() >= 0.97
-
-
-def test_labelled_rows_go_only_as_near_copies():
-    """Rows that share just the features with the least hashes all stay; one that differs in two of a hundred goes."""
-    pool = np.unique(np.random.default_rng(6).integers(1, 1 << 62, 8000))
-    with np.errstate(over="ignore"):
-        least = [np.argsort(W.mix(pool.view(np.uint64) * np.uint64(odd)))[:3] for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-    frequent = np.unique(np.concatenate(least))
-    rest = np.delete(pool, frequent)
-    rows = [np.sort(np.append(pool[frequent], rest[100 * i : 100 * i + 100])) for i in range(50)]
-    copy = np.sort(np.append(pool[frequent], np.append(rest[:98], rest[6000:6002])))
-    assert toxicity._distinct([*rows, copy]).tolist() == [True] * 50 + [False]
-
-
-def test_near_duplicates_of_repeated_and_null_ids(spark):
-    """Of each group of near copies one row stays; clean rows stay though their id repeats or is null."""
-    text = [" ".join(f"{w}{i}" for i in range(40)) for w in "abcde"]
-    rows = [(1, text[0]), (1, text[1]), (2, text[0]), (3, text[2] + " x"), (3, text[2]), (None, text[3]), (None, text[3]), (None, text[4]), (None, text[0]), (4, None), (5, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted([(r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()])
-    third = [x for x in got if x[0] == 3]
-    assert len(third) == 1 and third[0][1].startswith(text[2])
-    assert [x for x in got if x[0] != 3] == [(0, text[3]), (0, text[4]), (1, text[0]), (1, text[1]), (4, ""), (5, "")]
-
-
 def test_references_of_all_blocks_of_a_page(spark, tmp_path):
     html = "<style>a{background:url(1.png)}</style><STYLE media='all'>b{background:url(2.png)}</STYLE ><styled>c{background:url(3.png)}</styled>"
     html += "<script>fetch('/1')</script><script type=\"module\" async>fetch('/2')</script>"
@@ -103,4 +58,4 @@ def test_references_of_all_blocks_of_a_page(spark, tmp_path):
 
 
 def test_rectangles_of_all_lines(spark, long_document):
-    assert {r["rect"] for r in catalogue.QUERIES["rect_overlap_whole"](spark, long_document).collect()} == set(range(9))
+    assert {r["rect"] for r in catalogue.QUERIES["rect_overlap"](spark, long_document).collect()} == set(range(9))
