@@ -174,9 +174,9 @@ def fit(rows: DataFrame, orders: int = 4, rows_per_language: int = 3000, seed: i
     shares = F.create_map(*[F.lit(x) for lang in languages for x in (lang, int(min(1.0, rows_per_language / sizes[lang]) * (1 << 30)))])
     sample = rows.where(draw < shares[F.col("lang")]).select("lang", "text")
     counted = sample.mapInArrow(lambda it: _count(it, orders), "lang string, size int, gram long, n long")
-    got = counted.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).toArrow()
-    column = {lang: i for i, lang in enumerate(languages)}
-    lang = np.array([column[x] for x in got.column(0).to_pylist()], np.int32)
+    column = F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)])
+    got = counted.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).select(column[F.col("lang")].alias("lang"), "size", "gram", "n").toArrow()
+    lang = got.column(0).to_numpy().astype(np.int32)
     size, n = got.column(1).to_numpy(), got.column(3).to_numpy()
     gram = got.column(2).to_numpy().view(np.uint64)
     out = []
