@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +34,11 @@ def sub(value: Column, pattern: str, new: str = "") -> Column:
     return F.regexp_replace(value, pattern, new)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(value: Column) -> Column:
     return sub(value, rf"^{SPACE}|{SPACE}$")
 
@@ -58,17 +67,51 @@ def sanitize_messages(result: Column) -> Column:
 def body(value: Column) -> Column:
     """What the first body element holds, else all of it, stripped."""
     pattern = r"(?is)<body[^>]*>(.*?)</body>"
-    return strip(F.when(value.rlike(pattern), F.regexp_extract(value, pattern, 1)).otherwise(value))
+    return let(value, lambda v: strip(F.when(v.rlike(pattern), F.regexp_extract(v, pattern, 1)).otherwise(v)))
+
+
+#: Names that need no semicolon, the longest first, as the start of what follows an ampersand.
+_OPEN_NAMES = "^(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
+_NUMBER = "^#(?:([0-9]+)|[xX]([0-9a-fA-F]+));?"
+_NAMES = json.dumps(html5)
+#: What the numbers 128 to 159 stand for: Windows-1252, or themselves where it has nothing.
+_C1 = "".join(bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(128, 160))
+
+
+def _numbered(digits: Column, base: int) -> Column:
+    """The character of a number: U+FFFD for null, surrogates and what is beyond Unicode, nothing for what is none."""
+    n = F.conv(F.when(F.length(digits) > 12, F.repeat(F.lit("9"), 9)).otherwise(digits), base, 10).cast("long")
+    code = F.lpad(F.hex(n), 8, "0")
+    control = ((n < 32) & ~n.isin(9, 10, 12, 13)) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n % 65536 >= 65534)
+    return (
+        F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd")
+        .when(n.between(128, 159), F.substring(F.lit(_C1), (n - 127).cast("int"), F.lit(1)))
+        .when(control | (n == 11), "")
+        .otherwise(F.decode(F.unhex(code), "UTF-32"))
+    )
 
 
-# Entities that are decoded natively; the ampersand comes last.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&nbsp;": " ", "&middot;": "·", "&copy;": "©", "&amp;": "&"}
+def _reference(piece: Column) -> Column:
+    """What stands behind an ampersand, with the character reference at its start, if there is one, decoded."""
+    number = F.regexp_extract(piece, _NUMBER, 0)
+    decimal, hexadecimal = F.regexp_extract(piece, _NUMBER, 1), F.regexp_extract(piece, _NUMBER, 2)
+    closed = F.regexp_extract(piece, "^[A-Za-z][A-Za-z0-9]*;", 0)
+    open_name = F.regexp_extract(piece, _OPEN_NAMES, 1)
+    names = F.from_json(F.lit(_NAMES), "map<string,string>")
+    rest = lambda start: F.substring(piece, F.length(start) + 1, F.length(piece))
+    return (
+        F.when(decimal != "", F.concat(_numbered(F.coalesce(F.nullif(F.ltrim(decimal, F.lit("0")), F.lit("")), F.lit("0")), 10), rest(number)))
+        .when(hexadecimal != "", F.concat(_numbered(F.coalesce(F.nullif(F.ltrim(hexadecimal, F.lit("0")), F.lit("")), F.lit("0")), 16), rest(number)))
+        .when((closed != "") & names[closed].isNotNull(), F.concat(names[closed], rest(closed)))
+        .when(open_name != "", F.concat(names[open_name], rest(open_name)))
+        .otherwise(F.concat(F.lit("&"), piece))
+    )
 
 
 def unescape(value: Column) -> Column:
-    for name, character in ENTITIES.items():
-        value = F.replace(value, F.lit(name), F.lit(character))
-    return value
+    """All character references of HTML decoded once: named ones, with a semicolon or without where that is allowed, and numbers."""
+    decoded = lambda x: F.array_join(F.transform(F.split(x, "&"), lambda p, i: F.when(i == 0, p).otherwise(_reference(p))), "")
+    return let(value, lambda x: F.when(x.contains("&"), decoded(x)).otherwise(x))
 
 
 def escape(value: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def remove_dot_segments(path: Column) -> Column:
     """Resolve ``.`` and ``..`` segments; a trailing slash stays, nothing becomes ``/``."""
@@ -18,14 +20,18 @@ def remove_dot_segments(path: Column) -> Column:
         )
         .otherwise(F.concat(done, F.array(part))),
     )
-    joined = F.array_join(folded, "/")
-    closed = F.when(path.rlike(r"(?:/|/\.|/\.\.)$") & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined)
-    return F.coalesce(F.nullif(closed, F.lit("")), F.lit("/"))
+    plain = ~path.rlike(r"(?:^|/)\.\.?(?:/|$)")
+    closed = let(F.array_join(folded, "/"), lambda j: F.when(path.rlike(r"(?:/|/\.|/\.\.)$") & ~j.endswith("/"), F.concat(j, F.lit("/"))).otherwise(j))
+    return F.coalesce(F.nullif(F.when(plain, path).otherwise(closed), F.lit("")), F.lit("/"))
 
 
 def remote_key(url: Column) -> Column:
     """Canonical form of an absolute http(s) URL with an ASCII host: scheme and host in lower case, trailing dots and
     default ports dropped, dot segments resolved, no fragment."""
+    return let(url, _remote_key)
+
+
+def _remote_key(url: Column) -> Column:
     part = lambda k: F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?", k)
     scheme = F.lower(part(1))
     user = F.regexp_extract(part(2), r"^(.*@)", 1)
@@ -56,7 +62,10 @@ def resolve(base: Column, reference: Column) -> Column:
 
 def classify(base: Column, reference: Column, internal_host: str) -> Column:
     """Struct of ``target``, ``remote`` and ``problem`` for a reference; all null where nothing is fetched."""
-    full = resolve(base, reference)
+    return let(resolve(base, reference), lambda full: _classified(full, reference, internal_host))
+
+
+def _classified(full: Column, reference: Column, internal_host: str) -> Column:
     scheme = F.lower(F.regexp_extract(full, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     host = F.lower(F.regexp_extract(full, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
     web = scheme.isin("http", "https")

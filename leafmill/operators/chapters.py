@@ -16,29 +16,28 @@ def chapters_of(markup: Column, title: Column) -> Column:
     What stands before the first heading is a chapter if it shows text; a chapter that shows none is dropped; one
     whose title is that of the chapter before is appended to it; without chapters the whole body is one.
     """
-    body = X.body(markup)
-    heads = F.regexp_extract_all(body, F.lit(HEADING), F.lit(1))
-    parts = F.split(body, HEADING, -1)
-    found = F.transform(
-        parts,
-        lambda part, i: F.struct(
-            F.when(i == 0, title).otherwise(F.coalesce(F.nullif(X.plain_heading(F.get(heads, i - 1)), F.lit("")), title)).alias("title"), X.strip(part).alias("html")
-        ),
-    )
+    cut = lambda body: F.struct(body.alias("body"), F.regexp_extract_all(body, F.lit(HEADING), F.lit(1)).alias("heads"), F.split(body, HEADING, -1).alias("parts"))
+    return X.let(X.let(X.body(markup), cut), lambda c: _chapters(c["body"], c["heads"], c["parts"], title))
+
+
+def _chapters(body: Column, heads: Column, parts: Column, title: Column) -> Column:
+    named = lambda i: F.when(i == 0, title).otherwise(F.coalesce(F.nullif(X.plain_heading(F.get(heads, i - 1)), F.lit("")), title))
+    found = F.transform(parts, lambda part, i: F.struct(named(i).alias("title"), X.strip(part).alias("html")))
     shown = F.filter(found, lambda c: X.plain_heading(c["html"]) != "")
-    empty = F.array().cast("array<struct<title:string,html:string>>")
-    merged = F.aggregate(
-        shown,
-        empty,
-        lambda done, c: F.when(
-            (F.size(done) > 0) & (X.casefold(F.element_at(done, -1)["title"]) == X.casefold(c["title"])),
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1),
-                F.array(F.struct(F.element_at(done, -1)["title"].alias("title"), F.concat(F.element_at(done, -1)["html"], F.lit("\n"), c["html"]).alias("html"))),
-            ),
-        ).otherwise(F.concat(done, F.array(c))),
-    )
-    return F.when((F.size(heads) > 0) & (F.size(merged) > 0), merged).otherwise(F.array(F.struct(title.alias("title"), body.alias("html"))))
+    keyed = F.transform(shown, lambda c: F.struct(c["title"].alias("title"), c["html"].alias("html"), X.casefold(c["title"]).alias("key")))
+
+    def grouped(all_: Column) -> Column:
+        starts = F.filter(F.transform(all_, lambda c, i: F.when((i == 0) | (c["key"] != F.get(all_, i - 1)["key"]), i)), lambda i: i.isNotNull())
+        return X.let(starts, lambda at: F.transform(at, lambda first, k: _joined(all_, first, F.coalesce(F.get(at, k + 1), F.size(all_)))))
+
+    one = F.array(F.struct(title.alias("title"), body.alias("html")))
+    return X.let(keyed, lambda all_: F.when((F.size(heads) > 0) & (F.size(all_) > 0), grouped(all_)).otherwise(one))
+
+
+def _joined(all_: Column, first: Column, end: Column) -> Column:
+    """The chapters from ``first`` up to ``end`` as one, under the first one's title."""
+    html = F.array_join(F.transform(F.slice(all_, first + 1, end - first), lambda c: c["html"]), "\n")
+    return F.struct(F.get(all_, first)["title"].alias("title"), html.alias("html"))
 
 
 def html_chapters(pages: DataFrame, key: str, markup: str, title: Column) -> DataFrame:

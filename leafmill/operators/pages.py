@@ -28,24 +28,27 @@ def clean_markdown(value: Column) -> Column:
     underlining of headings goes, as do blanks at line ends and all but two of many empty lines.
     """
     lines = F.split(F.replace(value, F.lit("\r\n"), F.lit("\n")), "\n")
-    is_number = lambda x: x.rlike(NUMBER)
-    is_marker = lambda x: x.rlike(MARKER)
-    many = F.size(F.filter(lines, is_number)) >= 10
-    kept = F.filter(lines, lambda x: ~is_marker(x) & ~(many & is_number(x)))
-    first = F.array_position(F.transform(kept, lambda x: X.strip(x) != ""), True)
+    seen = F.transform(lines, lambda x: F.struct(x.alias("line"), x.rlike(NUMBER).alias("number"), x.rlike(MARKER).alias("marker")))
+    counted = lambda all_: F.struct(all_.alias("lines"), (F.size(F.filter(all_, lambda x: x["number"])) >= 10).alias("many"))
+    return X.let(X.let(seen, counted), lambda c: _cleaned(c["lines"], c["many"]))
+
+
+def _cleaned(lines: Column, many: Column) -> Column:
+    kept = F.transform(F.filter(lines, lambda x: ~x["marker"] & ~(many & x["number"])), lambda x: x["line"])
+    placed = lambda k: F.struct(k.alias("kept"), F.array_position(F.transform(k, lambda x: X.strip(x) != ""), True).alias("first"))
     heading = lambda x, p: F.concat(F.lit("# "), X.strip(F.regexp_extract(x, p, 1)))
 
-    def line(x: Column, i: Column) -> Column:
+    def line(x: Column, i: Column, first: Column) -> Column:
         rest = X.strip(F.regexp_extract(x, SECTION, 2))
         section = F.when(rest == "", F.array(heading(x, SECTION), F.lit(""))).otherwise(F.array(heading(x, SECTION), F.lit(""), rest, F.lit("")))
         plain = F.rtrim(F.regexp_replace(x, UNDERLINED, "$1 $2"))
         return F.when(x.rlike(SECTION), section).when(x.rlike(TITLE) & (i + 1 == first), F.array(heading(x, TITLE), F.lit(""))).otherwise(F.array(plain))
 
-    joined = F.array_join(F.flatten(F.transform(kept, line)), "\n")
+    text = X.let(X.let(kept, placed), lambda c: F.array_join(F.flatten(F.transform(c["kept"], lambda x, i: line(x, i, c["first"]))), "\n"))
     return F.struct(
-        F.concat(X.strip(F.regexp_replace(joined, "\n{4,}", "\n\n\n")), F.lit("\n")).alias("text"),
-        F.when(many, F.size(F.filter(lines, lambda x: is_number(x) & ~is_marker(x)))).otherwise(0).cast("long").alias("numbers"),
-        F.size(F.filter(lines, is_marker)).cast("long").alias("markers"),
+        F.concat(X.strip(F.regexp_replace(text, "\n{4,}", "\n\n\n")), F.lit("\n")).alias("text"),
+        F.when(many, F.size(F.filter(lines, lambda x: x["number"] & ~x["marker"]))).otherwise(0).cast("long").alias("numbers"),
+        F.size(F.filter(lines, lambda x: x["marker"])).cast("long").alias("markers"),
     )
 
 

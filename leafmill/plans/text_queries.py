@@ -52,8 +52,12 @@ def s_body(x: str) -> str:
     return s_strip(f"CASE WHEN regexp_matches({x}, '{p}') THEN regexp_extract({x}, '{p}', 1) ELSE {x} END")
 
 
+# References that the stored pages may hold, the ampersand last.
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&middot;": "·", "&copy;": "©", "&amp;": "&"}
+
+
 def s_unescape(x: str) -> str:
-    for name, c in X.ENTITIES.items():
+    for name, c in _ENTITIES.items():
         x = f"replace({x}, '{name}', '{c.replace(chr(39), chr(39) * 2)}')"
     return x
 
