@@ -1,11 +1,12 @@
-"""Repeated passages by exact hashing of windows, in place of a relative Lempel-Ziv parse.
+"""Repeated passages by relative Lempel-Ziv parsing.
 
-Blocks are the windows of ``window`` words of all documents, indexed by their hash with the smallest document in which
-each starts.  Every block of a document is joined to that index, whatever the blocks before it met, so no passage is
-lost where one reference ends and another begins.  Runs of consecutive blocks with the same smallest document make a
-factor.  No position in the reference is kept: a factor need not be one passage of it.  A greedy parse is not run as
-words go if any window that covers them is in a smaller document, which its longest matches alone do not tell, and as
-it would need the references' texts beside each document.
+The reference is made of blocks: every window of ``window`` words that several documents hold, once, at the place
+where the smallest of these documents has it first.  A document is parsed from left to right: at the first word whose
+block is in the reference a factor begins, and it grows by a word as long as the next block is the one that follows in
+the same reference document.  As each block has one place, the longest factor is also the only one, and it is one
+passage of its reference.  A factor ends where its passage does.  What then begins is checked at once: the blocks over
+the end of a factor are looked up as all others are, so a passage of another reference that overlaps it becomes a
+factor too and none is lost.  Every factor is at least a block long; all its words repeat.
 
 The index holds only blocks that can repeat.  Of the ``gram``-word grams of a block the one with the least hash is
 its anchor; equal blocks have equal anchors, so blocks whose anchor occurs in one document only are not indexed.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import bounded_batches, cut, load
+from .tables import Scratch, bounded_batches, load
 
 _U = np.uint64
 #: Bits of a text's digest that tell texts of one doc_id apart.
@@ -81,7 +82,7 @@ def _sign(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Blocks whose anchor is shared, of rows (doc_id, text, tag, shared)."""
+    """Blocks whose anchor is shared, with their own place and the first one of an equal block, of rows (doc_id, text, tag, shared)."""
     for batch in batches:
         tags = batch.column(2).to_numpy()
         shared = batch.column(3)
@@ -92,63 +93,74 @@ def _blocks(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterat
             anchors, blocks = _windows(hashes, window, gram)
             at = np.flatnonzero(np.isin(anchors.view(np.int64), shared[row].values.to_numpy()))
             if len(at):
+                found = blocks[at]
+                _, least, same = np.unique(found, return_index=True, return_inverse=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(blocks[at].view(np.int64)), pa.array(np.full(len(at), docs[row])), pa.array(at | (int(tags[row]) << _AT))], names=["block", "node", "at"]
+                    [pa.array(found.view(np.int64)), pa.array(np.full(len(at), docs[row])), pa.array(at | (int(tags[row]) << _AT)), pa.array(at[least[same]])],
+                    names=["block", "node", "at", "first"],
                 )
 
 
-def factors_of(starts: np.ndarray, refs: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """Factors (start, length, reference): runs in the sorted starts of indexed blocks with one smallest document."""
+def factors_of(starts: np.ndarray, refs: np.ndarray, places: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """Factors (start, length, reference, place) of the sorted starts of indexed blocks.
+
+    A factor is as long as the next block follows in the text and in the reference alike.
+    """
     if not len(starts):
         return []
-    new = np.flatnonzero(np.append(True, (np.diff(starts) != 1) | (np.diff(refs) != 0)))
+    new = np.flatnonzero(np.append(True, (np.diff(starts) != 1) | (np.diff(refs) != 0) | (np.diff(places) != 1)))
     last = np.append(new[1:], len(starts)) - 1
-    return [(int(starts[a]), int(starts[b] - starts[a]) + window, int(refs[a])) for a, b in zip(new, last, strict=True)]
+    return [(int(starts[a]), int(starts[b] - starts[a]) + window, int(refs[a]), int(places[a])) for a, b in zip(new, last, strict=True)]
 
 
 def _parse(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Factors of rows (node, tag, found) where found holds (at, ref): no parse, only runs."""
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ref", pa.int64())]))
+    """Factors of rows (node, tag, found) where found holds (at, ref, place)."""
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "ref", "place")]))
     for batch in batches:
         out = []
         for found in batch.column(2):
-            at, ref = (found.values.field(i).to_numpy() for i in (0, 1))
+            at, ref, place = (found.values.field(i).to_numpy() for i in range(3))
             at = at & ((1 << _AT) - 1)
             order = np.argsort(at, kind="stable")
-            at, ref = at[order], ref[order]
-            first = np.append(True, np.diff(at) != 0)
-            out.append([{"start": a, "length": n, "ref": r} for a, n, r in factors_of(at[first], ref[first], window)])
+            at, ref, place = at[order], ref[order], place[order]
+            once = np.append(True, np.diff(at) != 0)
+            out.append([{"start": a, "length": n, "ref": r, "place": p} for a, n, r, p in factors_of(at[once], ref[once], place[once], window)])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["node", "tag", "factors"])
 
 
-_FACTORS = "array<struct<start:long,length:long,ref:long>>"
+_FACTORS = "array<struct<start:long,length:long,ref:long,place:long>>"
 
 
 def repeated_factors(documents: DataFrame, window: int = 50, gram: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, tag, factors`` for every document with words that repeat.
 
-    A factor (start, length, ref) says that each of its blocks of ``window`` words also starts in a document with a
-    smaller doc_id, the smallest being ``ref``.  ``tag`` tells texts of one doc_id apart (bits of the digest of the
-    word sequence).  Texts with equal word sequences form a class; a copy of a smaller document is one factor over
+    A factor (start, length, ref, place) says that these ``length`` words also stand in document ``ref`` from word
+    ``place`` on; no smaller document holds its blocks.  ``tag`` tells texts of one doc_id apart (bits of the digest of
+    the word sequence).  Texts with equal word sequences form a class; a copy of a smaller document is one factor over
     all its words, and only the smallest goes on.  Blocks are grouped by hash with map-side minima, so a passage
-    that very many documents share costs one row for each task, and the join back is split where it is skewed.
+    that very many documents share costs one row for each task.  The index is written before documents are joined to
+    it, so that both sides of that join come straight from a shuffle and a block of very many documents is split.
     """
     bounded_batches(documents.sparkSession)
+    tables = Scratch(documents.sparkSession)
     rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null")
-    signed = cut(rows.mapInArrow(partial(_sign, window=window, gram=gram), "doc_id long, n_words long, lo long, hi long, anchors array<long>"))
+    signed = tables.keep(rows.mapInArrow(partial(_sign, window=window, gram=gram), "doc_id long, n_words long, lo long, hi long, anchors array<long>"))
     long = signed.where(F.col("n_words") >= window)
     tag = F.col("lo").bitwiseAND(F.lit((1 << _TAG) - 1))
     classes = long.groupBy("lo", "hi").agg(F.min("doc_id").alias("node"), F.any_value("anchors").alias("anchors"))
     anchors = classes.select("node", tag.alias("tag"), F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("anchor")
-    marks = cut(anchors.join(shared, "anchor").groupBy("node", "tag").agg(F.collect_list("anchor").alias("shared")))
+    marks = tables.keep(anchors.join(shared, "anchor").groupBy("node", "tag").agg(F.collect_list("anchor").alias("shared")))
     marked = rows.join(marks.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "text", "tag", "shared")
-    blocks = marked.mapInArrow(partial(_blocks, window=window, gram=gram), "block long, node long, at long")
-    index = blocks.groupBy("block").agg(F.min("node").alias("ref"), F.max("node").alias("top")).where("ref < top").select("block", "ref")
-    found = blocks.join(index, "block").where("ref < node").groupBy("node", F.shiftright("at", _AT).alias("tag")).agg(F.collect_list(F.struct("at", "ref")).alias("found"))
+    blocks = marked.mapInArrow(partial(_blocks, window=window, gram=gram), "block long, node long, at long, first long")
+    least = blocks.groupBy("block").agg(F.min("node").alias("ref"), F.max("node").alias("top"), F.min_by("first", "node").alias("place"))
+    index = tables.keep(least.where("ref < top").select("block", "ref", "place"))
+    met = blocks.select("block", "node", "at").join(index, "block").where("ref < node")
+    found = met.groupBy("node", F.shiftright("at", _AT).alias("tag")).agg(F.collect_list(F.struct("at", "ref", "place")).alias("found"))
     parsed = found.mapInArrow(partial(_parse, window=window), f"node long, tag long, factors {_FACTORS}")
     copies = long.select("doc_id", "n_words", "lo", "hi").join(classes.select("lo", "hi", "node"), ["lo", "hi"]).where("node < doc_id")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("length"), F.col("node").alias("ref")))
+    zero = F.lit(0).cast("long")
+    whole = F.array(F.struct(zero.alias("start"), F.col("n_words").alias("length"), F.col("node").alias("ref"), zero.alias("place")))
     return parsed.withColumnRenamed("node", "doc_id").unionByName(copies.select("doc_id", tag.alias("tag"), whole.alias("factors")).distinct())
 
 
@@ -188,7 +200,7 @@ def remove_repeats(documents: DataFrame, window: int = 50, gram: int = 8, doc_id
     """
     rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     factors = repeated_factors(documents, window, gram, doc_id, text)
-    found = cut(factors.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "factors")).alias("found")))
+    found = Scratch(documents.sparkSession).keep(factors.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "factors")).alias("found")))
     return rows.join(found, "doc_id", "left").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")
 
 

@@ -47,9 +47,17 @@ def test_repeats_with_null_and_repeated_ids(spark):
 
 def test_factors_name_their_reference_and_break_at_edges(spark):
     a, b = [f"a{i}" for i in range(55)], [f"b{i}" for i in range(55)]
-    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(["z", *a, *b]))]
+    rows = [(1, " ".join(a)), (2, " ".join(["y", *b])), (3, " ".join(["z", *a, *b]))]
     found = substrings.repeated_factors(documents(spark, rows)).where("doc_id = 3").first()["factors"]
-    assert [(f["start"], f["length"], f["ref"]) for f in found] == [(1, 55, 1), (56, 55, 2)]
+    assert [(f["start"], f["length"], f["ref"], f["place"]) for f in found] == [(1, 55, 1, 0), (56, 55, 2, 1)]
+
+
+def test_passages_over_the_ends_of_factors_are_found(spark):
+    """A text whose passages of two references overlap: the second begins inside the first one's factor."""
+    w = [f"w{i}" for i in range(130)]
+    rows = [(1, " ".join(w[:80])), (2, " ".join(w[60:])), (3, " ".join([*w, *w[10:70]]))]
+    found = substrings.repeated_factors(documents(spark, rows)).where("doc_id = 3").first()["factors"]
+    assert [(f["start"], f["length"], f["ref"], f["place"]) for f in found] == [(0, 80, 1, 0), (60, 70, 2, 0), (130, 60, 1, 10)]
 
 
 def test_vectors_with_repeated_and_null_ids(spark):
