@@ -26,7 +26,7 @@ SEGMENT = 256
 
 @dataclass
 class PatternSet:
-    """Wu-Manber tables for all patterns of one length."""
+    """Wu-Manber tables for all patterns of one length; a pattern is a place among the words of one buffer."""
 
     length: int
     block: int
@@ -36,8 +36,18 @@ class PatternSet:
     suffix_from: np.ndarray
     order: np.ndarray
     prefix: np.ndarray
-    words: list[tuple[bytes, ...]]
-    items: list[list[str]]
+    #: Lower-cased text of the items, where each of its words lies, and the first word of each pattern.
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    first: np.ndarray
+    #: Items of pattern k: ``names[item[item_from[k] : item_from[k + 1]]]``.
+    names: list[str]
+    item: np.ndarray
+    item_from: np.ndarray
+
+    def items_of(self, k: int) -> list[str]:
+        return [self.names[i] for i in self.item[self.item_from[k] : self.item_from[k + 1]].tolist()]
 
 
 def _block_hash(hashes: np.ndarray, last: np.ndarray, block: int) -> np.ndarray:
@@ -48,46 +58,68 @@ def _block_hash(hashes: np.ndarray, last: np.ndarray, block: int) -> np.ndarray:
     return W.mix(out)
 
 
-def _tables(patterns: dict[tuple[bytes, ...], set[str]], length: int) -> PatternSet:
-    words = list(patterns)
-    flat = b" ".join(b" ".join(p) for p in words)
-    data = np.frombuffer(flat, np.uint8)
-    starts, ends, _ = W.find_words(data, np.array([0, len(data)]), W.ALNUM)
-    hashes = W.hash_words(data, starts, ends, fold=True)
+def _text_of(items: list[tuple[str | None, str | None]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased bytes of all texts, a line end between them, and where each begins."""
+    raw = [(text or "").encode() for _, text in items]
+    offs = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    return np.frombuffer(b"\n".join([*raw, b""]).translate(W.FOLD_BYTES), np.uint8), offs
+
+
+def _firsts(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from each ``begin`` on, ``count`` of them, and the row that each comes from."""
+    row = np.repeat(np.arange(len(begin)), count)
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + begin[row], row
+
+
+def _tables(
+    length: int, hashes: np.ndarray, first: np.ndarray, owner: np.ndarray, names: list[str], data: np.ndarray, starts: np.ndarray, ends: np.ndarray
+) -> PatternSet:
+    """Tables for the windows of ``length`` words that begin at ``first``; equal windows (equal in the hashes of all their
+    words) become one pattern.  ``owner`` is the item of a window as an index to ``names``, -1 for none."""
+    order = np.lexsort([hashes[first + j] for j in range(length)])
+    new = np.zeros(len(first), bool)
+    new[:1] = True
+    for j in range(length):
+        column = hashes[first[order] + j]
+        new[1:] |= column[1:] != column[:-1]
+    group = np.cumsum(new) - 1
+    pairs = np.unique(np.stack([group, owner[order]], axis=1)[owner[order] >= 0], axis=0)
+    item_from = np.searchsorted(pairs[:, 0], np.arange(int(new.sum()) + 1))
+    first = first[order][new]
     block = min(2, length)
-    bits = int(min(22, max(12, np.ceil(np.log2(max(2, len(hashes)))) + 4)))
+    bits = int(min(22, max(12, np.ceil(np.log2(max(2, len(first) * length))) + 4)))
     shift = np.full(1 << bits, length - block + 1, np.uint8)
-    first = np.arange(len(words)) * length
     down = _U(64 - bits)
     for j in range(block, length + 1):
         np.minimum.at(shift, _block_hash(hashes, first + j - 1, block) >> down, length - j)
     suffix = _block_hash(hashes, first + length - 1, block)
-    order = np.argsort(suffix, kind="stable")
-    keys, begins = np.unique(suffix[order], return_index=True)
+    by_suffix = np.argsort(suffix, kind="stable")
+    keys, begins = np.unique(suffix[by_suffix], return_index=True)
     prefix = _block_hash(hashes, first + block - 1, block)
+    small = lambda x: x.astype(np.int32)
     return PatternSet(
-        length, block, bits, shift, keys, np.append(begins, len(words)), order, prefix, words, [sorted(patterns[p]) for p in words]
+        length, block, bits, shift, keys, np.append(begins, len(first)), small(by_suffix), prefix, data, small(starts), small(ends), small(first), names, small(pairs[:, 1]), item_from
     )
 
 
 def build_patterns(items: list[tuple[str | None, str | None]], width: int = 10) -> list[PatternSet]:
-    """Tables for (item id, text) pairs; a text without words gives no pattern."""
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-    for item, text in items:
-        raw = (text or "").encode()
-        data = np.frombuffer(raw, np.uint8)
-        starts, ends, _ = W.find_words(data, np.array([0, len(data)]), W.ALNUM)
-        low = raw.translate(W.FOLD_BYTES)
-        seq = [low[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        if not seq:
-            continue
-        n = min(width, len(seq))
-        known = by_length.setdefault(n, {})
-        for i in range(len(seq) - n + 1):
-            ids = known.setdefault(tuple(seq[i : i + n]), set())
-            if item is not None:
-                ids.add(item)
-    return [_tables(p, n) for n, p in sorted(by_length.items())]
+    """Tables for (item id, text) pairs; a text without words gives no pattern.
+
+    All in arrays: some 60 bytes for each window beside the text, shared by the tables of all lengths.
+    """
+    data, offs = _text_of(items)
+    starts, ends, word_lo = W.find_words(data, offs, W.ALNUM)
+    hashes = W.hash_words(data, starts, ends, fold=False)
+    sizes = np.diff(word_lo)
+    names = sorted({item for item, _ in items if item is not None})
+    number = {name: i for i, name in enumerate(names)}
+    owner = np.array([-1 if item is None else number[item] for item, _ in items], np.int64)
+    out = []
+    for n in np.unique(np.minimum(sizes[sizes > 0], width)).tolist():
+        rows = np.flatnonzero(np.minimum(sizes, width) == n)
+        first, row = _firsts(word_lo[rows], sizes[rows] - n + 1)
+        out.append(_tables(n, hashes, first, owner[rows[row]], names, data, starts, ends))
+    return out
 
 
 def search(
@@ -129,18 +161,31 @@ def search(
     pos, which = pos[alike], which[alike]
     if not len(pos):
         return none, none
-    low = data.tobytes().translate(W.FOLD_BYTES)
-    good = np.fromiter(
-        (
-            all(low[starts[i] : ends[i]] == w for i, w in zip(range(p - m + 1, p + 1), patterns.words[k], strict=True))
-            for p, k in zip(pos.tolist(), which.tolist(), strict=True)
-        ),
-        bool,
-        len(pos),
-    )
+    good = np.ones(len(pos), bool)
+    theirs = patterns.first[which].astype(np.int64)
+    for j in range(m):
+        i, k = pos[good] - m + 1 + j, theirs[good] + j
+        good[good] = _same_words(data, starts[i], ends[i], patterns.data, patterns.starts[k].astype(np.int64), patterns.ends[k].astype(np.int64))
     return pos[good], which[good]
 
 
+def _same_words(a: np.ndarray, a_from: np.ndarray, a_to: np.ndarray, b: np.ndarray, b_from: np.ndarray, b_to: np.ndarray) -> np.ndarray:
+    """Whether the words of two texts are equal, those of the first one lower-cased, compared byte by byte."""
+    same = a_to - a_from == b_to - b_from
+    rows = np.flatnonzero(same)
+    lo = 0
+    while lo < len(rows):
+        size = np.cumsum((a_to - a_from)[rows[lo:]])
+        hi = lo + max(1, int(np.searchsorted(size, W.CHUNK, "right")))
+        part = rows[lo:hi]
+        left, row = _firsts(a_from[part], (a_to - a_from)[part])
+        right, _ = _firsts(b_from[part], (a_to - a_from)[part])
+        differ = W.FOLD[a[left]] != b[right]
+        same[part[np.unique(row[differ])]] = False
+        lo = hi
+    return same
+
+
 def scan_column(column: pa.Array, sets: list[PatternSet], found: list[set[str]], covered: list[list[tuple[int, int]]]) -> np.ndarray:
     """Add to each row's item ids and covered word ranges; returns each row's number of words."""
     flat, offs = W.text_buffers(column)
@@ -159,7 +204,7 @@ def scan_column(column: pa.Array, sets: list[PatternSet], found: list[set[str]],
             row = np.searchsorted(word_lo, pos, "right") - 1
             base = word_lo[row]
             for r, a, k in zip(row.tolist(), (pos - base).tolist(), which.tolist(), strict=True):
-                found[lo + r].update(patterns.items[k])
+                found[lo + r].update(patterns.items_of(k))
                 covered[lo + r].append((a - patterns.length + 1, a + 1))
     return counts
 
