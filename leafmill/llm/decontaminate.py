@@ -13,11 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
-from .tables import bounded_batches, cut, load
+from .tables import Scratch, bounded_batches, load, union_all
 
 _U = np.uint64
 #: Positions that one cursor covers.
@@ -247,48 +249,75 @@ def decontaminate(
 ) -> DataFrame:
     """Documents with ``decon_n_words``, ``decon_items`` (sorted ids) and ``decon_spans`` (word ranges of occurrences).
 
-    Row by row and without a shuffle.  The benchmark goes to the executors in blocks of ``block_bytes`` of text;
-    when there is more than one, each block is a pass over the rows, written to the checkpoint folder between
-    passes, so neither the driver nor a task holds more than one block.  Null or empty text: no words, no items.
-    Items without words never occur; an item with a null id covers words but names no item; repeated ids count
-    once.  Rows with equal text or id are treated each for itself, an empty table stays empty, and all columns
-    of the documents are kept, whatever their names (the three added ones must be free).
+    The benchmark goes to the executors in blocks of ``block_bytes`` of text, and neither the driver nor a task holds
+    more than one.  One block: row by row, without a shuffle.  More: each block is a pass that reads the texts and writes
+    only what it found, once for each text that has occurrences, by the 128-bit digest of the text; the documents join
+    what was found at the end, in one shuffle.  Null or empty text: no words, no items.  Items without words never occur;
+    an item with a null id covers words but names no item; repeated ids count once.  Rows with equal text or id are
+    treated each for itself, an empty table stays empty, and all columns of the documents are kept, whatever their names
+    (the three added ones must be free).
     """
     spark = documents.sparkSession
     bounded_batches(spark)
-    added = {"_n_words", "_items", "_spans", "decon_n_words", "decon_items", "decon_spans"}
-    if taken := added & set(documents.columns):
+    if taken := {"decon_n_words", "decon_items", "decon_spans"} & set(documents.columns):
         raise ValueError(f"columns {sorted(taken)} are used by this operator")
-    frame = documents.withColumns(
-        {"_n_words": F.lit(0).cast("long"), "_items": F.array().cast("array<string>"), "_spans": F.array().cast("array<struct<start:int,end:int>>")}
-    )
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row")
+    frame = documents.select(row, F.col(f"`{text}`").alias("_text"))
     blocks = _blocks(benchmark, item, item_text, block_bytes)
-    block, more = next(blocks, []), True
-    while more:
-        following = next(blocks, None)
-        more = following is not None
-        frame = _pass(spark, frame, text, build_patterns(block, width))
-        if more:
-            frame, block = cut(frame), following
-    return frame.withColumnsRenamed({"_n_words": "decon_n_words", "_items": "decon_items", "_spans": "decon_spans"})
-
-
-def _pass(spark: SparkSession, frame: DataFrame, text: str, sets: list[PatternSet]) -> DataFrame:
-    tables = spark.sparkContext.broadcast(sets)
-    at = {name: frame.columns.index(name) for name in (text, "_n_words", "_items", "_spans")}
+    block, following = next(blocks, []), next(blocks, None)
+    if following is None:
+        out = _pass(frame, build_patterns(block, width), digest=False)
+    else:
+        tables, found = Scratch(spark), []
+        while block is not None:
+            hits = _pass(frame.select("_text"), build_patterns(block, width), digest=True).where(F.size("decon_spans") > 0)
+            found.append(tables.keep(hits.groupBy("_lo", "_hi").agg(F.any_value("decon_items").alias("decon_items"), F.any_value("decon_spans").alias("decon_spans"))))
+            block, following = following, next(blocks, None)
+        each = union_all(found).groupBy("_lo", "_hi")
+        met = each.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("decon_items")))).alias("i"), F.flatten(F.collect_list("decon_spans")).alias("s"))
+        counted = _pass(frame, [], digest=True).drop("decon_items", "decon_spans").join(met, ["_lo", "_hi"], "left").drop("_lo", "_hi")
+        out = counted.mapInArrow(_merged, _found_schema([frame.schema["_row"]]))
+    return out.select("_row.*", "decon_n_words", "decon_items", "decon_spans")
+
+
+def _found_schema(before: list[T.StructField], *longs: str) -> T.StructType:
+    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    added = {"decon_n_words": T.LongType(), "decon_items": T.ArrayType(T.StringType()), "decon_spans": T.ArrayType(span)} | dict.fromkeys(longs, T.LongType())
+    return T.StructType([*before, *(T.StructField(name, kind) for name, kind in added.items())])
+
+
+def _pass(frame: DataFrame, sets: list[PatternSet], digest: bool) -> DataFrame:
+    """The rows of a frame with a column ``_text`` (which goes) and what ``sets`` find in it; with ``digest``, also two halves of its digest."""
+    tables = frame.sparkSession.sparkContext.broadcast(sets)
+    kept = [c for c in frame.columns if c != "_text"]
+    halves = ["_lo", "_hi"] if digest else []
+    names = [*kept, "decon_n_words", "decon_items", "decon_spans", *halves]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [set(x) for x in batch.column(at["_items"]).to_pylist()]
-            covered = [[(y["start"], y["end"]) for y in x] for x in batch.column(at["_spans"]).to_pylist()]
-            counts = scan_column(batch.column(at[text]), tables.value, found, covered)
-            arrays = list(batch.columns)
-            arrays[at["_n_words"]] = pa.array(counts)
-            arrays[at["_items"]] = pa.array([sorted(x) for x in found], pa.list_(pa.string()))
-            arrays[at["_spans"]] = pa.array([[{"start": a, "end": b} for a, b in merge(x)] for x in covered], _SPANS)
-            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
-
-    return frame.mapInArrow(scan, frame.schema)
+            texts = batch.column("_text")
+            found: list[set[str]] = [set() for _ in range(len(batch))]
+            covered: list[list[tuple[int, int]]] = [[] for _ in range(len(batch))]
+            counts = scan_column(texts, tables.value, found, covered)
+            items = pa.array([sorted(x) for x in found], pa.list_(pa.string()))
+            spans = pa.array([[{"start": a, "end": b} for a, b in merge(x)] for x in covered], _SPANS)
+            arrays = [*(batch.column(c) for c in kept), pa.array(counts), items, spans]
+            if digest:
+                flat, offs = W.text_buffers(texts)
+                sums = b"".join(xxhash.xxh3_128_digest(flat[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True))
+                arrays += [pa.array(x) for x in np.frombuffer(sums, np.int64).reshape(-1, 2).T.copy()]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return frame.mapInArrow(scan, _found_schema([frame.schema[c] for c in kept], *halves))
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (_row, decon_n_words, items, spans) with nothing for null and ranges that meet made one."""
+    for batch in batches:
+        items = pa.array([x or [] for x in batch.column(2).to_pylist()], pa.list_(pa.string()))
+        spans = [merge([(y["start"], y["end"]) for y in x or []]) for x in batch.column(3).to_pylist()]
+        ranges = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], _SPANS)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), items, ranges], names=["_row", "decon_n_words", "decon_items", "decon_spans"])
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
