@@ -158,7 +158,9 @@ def repeated_factors(documents: DataFrame, window: int = 50, gram: int = 8, doc_
     met = blocks.select("block", "node", "at").join(index, "block").where("ref < node")
     found = met.groupBy("node", F.shiftright("at", _AT).alias("tag")).agg(F.collect_list(F.struct("at", "ref", "place")).alias("found"))
     parsed = found.mapInArrow(partial(_parse, window=window), f"node long, tag long, factors {_FACTORS}")
-    copies = long.select("doc_id", "n_words", "lo", "hi").join(classes.select("lo", "hi", "node"), ["lo", "hi"]).where("node < doc_id")
+    ids = long.groupBy("lo", "hi").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("top"))
+    repeated = tables.keep(ids.where("node < top").select("lo", "hi", "node"))
+    copies = long.select("doc_id", "n_words", "lo", "hi").join(repeated, ["lo", "hi"]).where("node < doc_id")
     zero = F.lit(0).cast("long")
     whole = F.array(F.struct(zero.alias("start"), F.col("n_words").alias("length"), F.col("node").alias("ref"), zero.alias("place")))
     return parsed.withColumnRenamed("node", "doc_id").unionByName(copies.select("doc_id", tag.alias("tag"), whole.alias("factors")).distinct())
