@@ -157,3 +157,13 @@ def last_before(events: DataFrame, by: str, at: str, marks: Column) -> DataFrame
     """Events with ``previous``: the greatest ``at`` of a marked event strictly before (an as-of join as a window)."""
     order = Window.partitionBy(by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     return events.withColumn("previous", F.last(F.when(marks, F.col(at)), ignorenulls=True).over(order))
+
+
+def line_extents(spans: DataFrame) -> DataFrame:
+    """doc_id, line, left_x, right_x of lines from the boxes (x0, x1) of their spans."""
+    return spans.groupBy("doc_id", "line").agg(F.min("x0").alias("left_x"), F.max("x1").alias("right_x"))
+
+
+def ordered_events(events: DataFrame) -> DataFrame:
+    """``seq`` of the events of a page (doc_id, page, top, left, pos): by top, then left, equal places by pos."""
+    return events.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("top", "left", "pos")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _LINK = r"https?://[^\s)>]+"
@@ -66,3 +68,22 @@ def changed_parameters(stored: DataFrame, now: DataFrame, keys: list[str]) -> Da
 def audit(results: DataFrame) -> DataFrame:
     """doc_id, applied, rejected, cost: totals over batches; the cost is null where it is zero."""
     return results.groupBy("doc_id").agg(F.sum("applied").alias("applied"), F.sum("rejected").alias("rejected"), F.nullif(F.sum("cost"), F.lit(0.0)).alias("cost"))
+
+
+def records(judged: DataFrame, batch: str, order: str) -> DataFrame:
+    """``applied`` and ``rejected``: the corrections (order, verdict) of each batch, as many as its size allows."""
+    row = F.struct(order, "verdict")
+    kept = lambda wanted: F.array_sort(F.collect_list(F.when(wanted, row)))
+    return judged.groupBy(batch).agg(kept(F.col("verdict") == "applied").alias("applied"), kept(F.col("verdict") != "applied").alias("rejected"))
+
+
+def capped(corrections: DataFrame, batch: str, order: str, most: int = 80) -> DataFrame:
+    """The first ``most`` (1 to 200) corrections of each batch: what a request asks a reviewer for."""
+    if not 1 <= most <= 200:
+        raise ValueError("from 1 to 200 corrections can be asked for")
+    return corrections.withColumn("_n", F.row_number().over(Window.partitionBy(batch).orderBy(order))).where(F.col("_n") <= most).drop("_n")
+
+
+def union_in_order(lists: list[DataFrame]) -> DataFrame:
+    """Rows of all lists with ``part``, the number of their list."""
+    return reduce(DataFrame.unionByName, [frame.withColumn("part", F.lit(k)) for k, frame in enumerate(lists)])
