@@ -91,12 +91,13 @@ def _numbered(digits: Column, base: int) -> Column:
     )
 
 
-def _reference(piece: Column) -> Column:
+def _reference(piece: Column, closed_only: bool) -> Column:
     """What stands behind an ampersand, with the character reference at its start, if there is one, decoded."""
-    number = F.regexp_extract(piece, _NUMBER, 0)
-    decimal, hexadecimal = F.regexp_extract(piece, _NUMBER, 1), F.regexp_extract(piece, _NUMBER, 2)
+    pattern = _NUMBER.removesuffix("?") if closed_only else _NUMBER
+    number = F.regexp_extract(piece, pattern, 0)
+    decimal, hexadecimal = F.regexp_extract(piece, pattern, 1), F.regexp_extract(piece, pattern, 2)
     closed = F.regexp_extract(piece, "^[A-Za-z][A-Za-z0-9]*;", 0)
-    open_name = F.regexp_extract(piece, _OPEN_NAMES, 1)
+    open_name = F.lit("") if closed_only else F.regexp_extract(piece, _OPEN_NAMES, 1)
     names = F.from_json(F.lit(_NAMES), "map<string,string>")
     rest = lambda start: F.substring(piece, F.length(start) + 1, F.length(piece))
     return (
@@ -108,9 +109,12 @@ def _reference(piece: Column) -> Column:
     )
 
 
-def unescape(value: Column) -> Column:
-    """All character references of HTML decoded once: named ones, with a semicolon or without where that is allowed, and numbers."""
-    decoded = lambda x: F.array_join(F.transform(F.split(x, "&"), lambda p, i: F.when(i == 0, p).otherwise(_reference(p))), "")
+def unescape(value: Column, closed_only: bool = False) -> Column:
+    """All character references of HTML decoded once: named ones, with a semicolon or without where that is allowed, and numbers.
+
+    ``closed_only``: what lacks its semicolon is text, as in XML.
+    """
+    decoded = lambda x: F.array_join(F.transform(F.split(x, "&"), lambda p, i: F.when(i == 0, p).otherwise(_reference(p, closed_only))), "")
     return let(value, lambda x: F.when(x.contains("&"), decoded(x)).otherwise(x))
 
 
@@ -125,15 +129,15 @@ def collapse(value: Column) -> Column:
     return F.trim(sub(value, SPACE, " "))
 
 
-def plain_heading(value: Column) -> Column:
+def plain_heading(value: Column, closed_only: bool = False) -> Column:
     """Visible text: no comments, no tags, entities decoded, white space collapsed."""
-    return collapse(unescape(sub(sub(value, r"(?s)<!--.*?-->"), r"<[^>]+>")))
+    return collapse(unescape(sub(sub(value, r"(?s)<!--.*?-->"), r"<[^>]+>"), closed_only))
 
 
-def text_content(value: Column) -> Column:
+def text_content(value: Column, closed_only: bool = False) -> Column:
     """Text of markup with a space at both ends of block elements; Unicode must already be composed."""
     spaced = sub(value, rf"(?is)</?(?:{BOUNDARY_TAGS})(?:[\s/][^>]*)?>", " ")
-    return collapse(unescape(sub(sub(spaced, r"(?s)<!--.*?-->"), r"(?s)<[^>]+>")))
+    return collapse(unescape(sub(sub(spaced, r"(?s)<!--.*?-->"), r"(?s)<[^>]+>"), closed_only))
 
 
 def word_count(value: Column) -> Column:

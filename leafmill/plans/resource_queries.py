@@ -209,7 +209,7 @@ _CHAPTERS = TEXT_ORACLE["html_chapters"][: TEXT_ORACLE["html_chapters"].rindex("
 def book_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters and assets of pages."""
     title = F.concat(F.lit("page "), F.col("page_id"))
-    chapters = F.size(chapters_of(X.sanitize(F.col("html"))["clean"], title)).cast("long")
+    chapters = F.size(chapters_of(X.sanitize(F.col("html"))["clean"], title, closed_only=True)).cast("long")
     return D.load(spark, sf_dir, "pages").select("page_id", chapters.alias("chapters"), F.size(F.array_distinct(S.image_sources(F.col("html")))).cast("long").alias("assets"))
 
 
