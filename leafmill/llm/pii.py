@@ -2,8 +2,8 @@
 
 Fixed patterns give the base spans.  High-recall generators propose further, overlapping candidates; boosted trees
 score each candidate from its format and its context; a threshold calibrated on held-out candidates selects which
-are added.  The trees are fitted on the driver from a bounded sample of candidates and applied as a CASE expression,
-so the texts never leave the JVM.
+are added.  The trees are fitted on the driver from the counted features of all candidates and applied as a CASE
+expression, so the texts never leave the JVM.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import load
+from .tables import Scratch, load
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -136,6 +136,13 @@ FEATURES = {
 _SEEN = list(FEATURES)
 #: Features that make labels, which the model does not see.
 _HIDDEN = ("assigned", "named")
+#: Bits of a count that are kept when no count is rounded.
+EXACT = 53
+
+
+def _rounded(x: str, bits: int) -> str:
+    """SQL for a count of which only the ``bits`` leading bits are kept."""
+    return x if bits >= EXACT else f"({x} - {x} % shiftleft(1L, greatest(0, length(bin(bigint({x}))) - {bits})))"
 
 
 def candidates(frame: DataFrame) -> DataFrame:
@@ -175,7 +182,13 @@ class Tree:
         return np.where(x[:, self.feature] <= self.cut, self.low.predict(x), self.high.predict(x))
 
 
-def _grow(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int, rate: float, ridge: float = 1.0) -> Tree:
+def _tops(values: np.ndarray, bits: int) -> np.ndarray:
+    """The greatest count that :func:`_rounded` makes each of these values of."""
+    spare = np.maximum(np.frexp(values)[1] - bits, 0)
+    return values + 2.0**spare - 1
+
+
+def _grow(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int, rate: float, ridge: float = 1.0, bits: int = EXACT) -> Tree:
     score = lambda g, h: g * g / (h + ridge)
     g, h = grad.sum(), hess.sum()
     leaf = Tree(-1, 0.0, float(rate * g / (h + ridge)))
@@ -190,11 +203,11 @@ def _grow(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int, rate: f
         gain = score(gl, hl) + score(g - gl, h - hl) - score(g, h)
         k = int(gain.argmax())
         if gain[k] > best[0]:
-            best = (float(gain[k]), j, float((values[last[k]] + values[last[k] + 1]) / 2))
+            best = (float(gain[k]), j, float((_tops(values[last[k]], bits) + values[last[k] + 1]) / 2))
     if best[1] < 0:
         return leaf
     low = x[:, best[1]] <= best[2]
-    return Tree(best[1], best[2], 0.0, _grow(x[low], grad[low], hess[low], depth - 1, rate), _grow(x[~low], grad[~low], hess[~low], depth - 1, rate))
+    return Tree(best[1], best[2], 0.0, _grow(x[low], grad[low], hess[low], depth - 1, rate, ridge, bits), _grow(x[~low], grad[~low], hess[~low], depth - 1, rate, ridge, bits))
 
 
 @dataclass
@@ -209,9 +222,6 @@ class Boosted:
         """SQL for the score of candidate ``x``."""
         return " + ".join([f"{self.bias!r}D", *(f"({t.sql()})" for t in self.trees)])
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return self.bias + sum((t.predict(x) for t in self.trees), np.zeros(len(x)))
-
 
 #: Examples of formats that the base patterns leave out; (generator, text before, text, text after, wanted).
 _TAUGHT = [
@@ -225,30 +235,49 @@ _TAUGHT = [
 ]
 
 
-def fit(documents: DataFrame, text: str = "text", rows: int = 20_000, trees: int = 40, depth: int = 3, precision: float = 0.95, seed: int = 23) -> Boosted:
-    """Fit on the candidates of about ``rows`` documents (a documented bound; at most ``4 * rows`` candidates, those
-    with the least hashes, so the fit does not depend on partitions).
+#: The fixed examples together weigh this share of the candidates, so that they count alike however long a table is.
+_TAUGHT_SHARE = 0.04
+
+
+def vectors_of(documents: DataFrame, text: str = "text") -> DataFrame:
+    """``g, f, y, free, n``: how many candidates of all documents have these features, label and clearness of base spans."""
+    sample = documents.select(F.col(f"`{text}`").alias("text"))
+    marked = candidates(base_spans(sample)).select(F.expr(f"""explode(transform(_cand, x -> struct(x.g, x.f,
+      {_meets('x', 'y.s < x.e AND x.s < y.e AND (y.e - y.s) * 2 > x.e - x.s')} AS base,
+      NOT {_meets('x')} AS free,
+      x.f[{_SEEN.index('assigned')}] + x.f[{_SEEN.index('quoted')}] > 0 AND x.f[{_SEEN.index('named')}] > 0 AS given))) AS c""")).select("c.*")
+    wanted = (F.col("base") | ((F.col("g") == "token") & F.col("given"))).cast("double")
+    seen = F.array(*[F.lit(0.0) if name in _HIDDEN else F.col("f")[j] for j, name in enumerate(_SEEN)])
+    return marked.groupBy("g", seen.alias("f"), wanted.alias("y"), "free").agg(F.count("*").alias("n"))
+
+
+def fit(documents: DataFrame, text: str = "text", trees: int = 40, depth: int = 3, precision: float = 0.95, vectors: int = 100_000) -> Boosted:
+    """Fit on the candidates of all documents, each counted.
 
     Positives are candidates that a base span covers, tokens that an assignment to a name such as ``token``
     introduces, and fixed examples of further formats; any other candidate is a negative.  As the assignment makes
     labels, the model does not see it: it learns formats and the rest of the context.  Two thirds of the candidates
     train the trees.  The rest sets the thresholds, by those candidates alone that can be added, being clear of base
     spans: each generator gets the least score at which at least ``precision`` of them are positive, or none.
+
+    Candidates of the same features are one vector with their number, so the driver sees as many rows as there are
+    formats.  If these are more than ``vectors``, counts of characters keep 4, else 3, 2 or 1 leading bits; all
+    candidates still count.  The fit does not depend on partitions.
     """
-    total = documents.count()
-    draw = F.pmod(F.xxhash64(F.col(f"`{text}`"), F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, rows / max(total, 1)) * (1 << 30))
-    sample = documents.select(F.col(f"`{text}`").alias("text")).where(draw)
     spark = documents.sparkSession
-    marked = candidates(base_spans(sample)).select(F.expr(f"""explode(transform(_cand, x -> struct(x.g, x.f,
-      {_meets('x', 'y.s < x.e AND x.s < y.e AND (y.e - y.s) * 2 > x.e - x.s')} AS base,
-      NOT {_meets('x')} AS free,
-      x.f[{_SEEN.index('assigned')}] + x.f[{_SEEN.index('quoted')}] > 0 AND x.f[{_SEEN.index('named')}] > 0 AS given))) AS c""")).select("c.*")
-    drawn = marked.orderBy(F.xxhash64("g", "f", "base", "given"), "g", "f").limit(4 * rows)
-    wanted = (F.col("base") | ((F.col("g") == "token") & F.col("given"))).cast("double")
-    found = drawn.select("g", "f", wanted.alias("y"), "free").toArrow().combine_chunks()
+    scratch = Scratch(spark)
+    whole = table = scratch.keep(vectors_of(documents, text))
+    for bits in (EXACT, 4, 3, 2, 1):
+        if bits < EXACT:
+            shorter = F.expr(f"transform(f, v -> {_rounded('v', bits)})")
+            table = whole.groupBy("g", shorter.alias("f"), "y", "free").agg(F.sum("n").alias("n"))
+        if table.count() <= vectors:
+            break
+    found = table.select("g", "f", "y", "free", "n").toArrow().combine_chunks()
+    scratch.drop(whole)
     quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
     values = ", ".join(f"({i}, {quoted(b)}, {quoted(m)}, {quoted(a)})" for i, (_, b, m, a, _) in enumerate(_TAUGHT))
-    features = ", ".join(f"double({x})" for x in FEATURES.values())
+    features = ", ".join(_rounded(f"double({x})", bits) for x in FEATURES.values())
     taught = spark.sql(f"SELECT i, array({features}) AS f FROM (SELECT i, struct(p, m, n) AS x FROM VALUES {values} AS t(i, p, m, n))").collect()
     names = list(_GENERATORS)
     g = np.append(pc.index_in(found.column(0), pa.array(names)).to_numpy(), [names.index(_TAUGHT[r["i"]][0]) for r in taught])
@@ -257,24 +286,28 @@ def fit(documents: DataFrame, text: str = "text", rows: int = 20_000, trees: int
     x[:, [_SEEN.index(name) for name in _HIDDEN]] = 0
     y = np.append(found.column(2).to_numpy(), [_TAUGHT[r["i"]][4] for r in taught])
     free = np.append(found.column(3).to_numpy(zero_copy_only=False).astype(bool), np.ones(len(taught), bool))
+    n = found.column(4).to_numpy().astype(np.int64)
+    n = np.append(n, np.full(len(taught), max(1, round(_TAUGHT_SHARE * int(n.sum()) / len(taught)))))
     order = np.lexsort((free, y, *x.T, g))
-    g, x, y, free = g[order], x[order], y[order], free[order]
-    check = np.arange(len(y)) % 3 == 2
-    mean = min(max(float(y[~check].mean()), 1e-3), 1 - 1e-3)
+    g, x, y, free, n = g[order], x[order], y[order], free[order], n[order]
+    # Every third candidate in this order is held out.
+    after = n.cumsum()
+    held = after // 3 - (after - n) // 3
+    kept = n - held
+    mean = min(max(float((y * kept).sum() / kept.sum()), 1e-3), 1 - 1e-3)
     model = Boosted([], float(np.log(mean / (1 - mean))), {})
-    raw = np.full((~check).sum(), model.bias)
+    raw = np.full(len(y), model.bias)
     for _ in range(trees):
         p = 1 / (1 + np.exp(-raw))
-        tree = _grow(x[~check], y[~check] - p, p * (1 - p), depth, 0.3)
+        tree = _grow(x, (y - p) * kept, p * (1 - p) * kept, depth, 0.3, bits=bits)
         model.trees.append(tree)
-        raw += tree.predict(x[~check])
-    scores = model.score(x)
+        raw += tree.predict(x)
     for name in _GENERATORS:
-        own = check & free & (g == names.index(name))
-        down = np.argsort(-scores[own], kind="stable")
-        s, hits = scores[own][down], y[own][down].cumsum()
+        own = free & (held > 0) & (g == names.index(name))
+        down = np.argsort(-raw[own], kind="stable")
+        s, many, hits = raw[own][down], held[own][down].cumsum(), (y * held)[own][down].cumsum()
         last = np.append(s[1:] < s[:-1], True) if len(s) else np.zeros(0, bool)
-        good = np.flatnonzero(last & (hits >= precision * np.arange(1, len(s) + 1)))
+        good = np.flatnonzero(last & (hits >= precision * many))
         model.least[name] = float(s[good[-1]]) if len(good) else None
     return model
 
