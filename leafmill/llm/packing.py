@@ -10,7 +10,6 @@ patterns with multiplicities; pieces find their place by their rank within their
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -203,6 +202,37 @@ def _grown(array: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+#: Bytes of ASCII letters, of the second halves of Latin-1 letters, and of punctuation that is told apart from letters.
+_ASCII, _LATIN, _MARKS = (np.isin(np.arange(256), list(x)) for x in (
+    [*range(65, 91), *range(97, 123)], {*range(0x80, 0xC0)} - {0x97, 0xB7}, b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+))
+
+
+def plain_bodies(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the letters of each word begin and end, and ``data`` with these letters in lower case.
+
+    Only words of Latin-1 letters between ASCII punctuation have such a body; that of any other word is empty, at its
+    end.  The words are all of ``data``, in order.
+    """
+    latin = np.zeros(len(data), bool)
+    latin[1:] = (data[:-1] == 0xC3) & _LATIN[data[1:]]
+    letter = _ASCII[data] | latin
+    letter[:-1] |= latin[1:]
+    begins = letter.copy()
+    begins[1:] &= ~letter[:-1]
+    begins[starts] = letter[starts]
+    runs = np.flatnonzero(begins)
+    count = lambda mask: (total := np.append(np.int32(0), np.cumsum(mask, dtype=np.int32)))[ends] - total[starts]
+    letters, marks = count(letter), count(_MARKS[data])
+    at = np.searchsorted(runs, starts)
+    plain = (np.searchsorted(runs, ends) - at == 1) & (letters + marks == ends - starts)
+    begin = ends.copy()
+    begin[plain] = runs[at[plain]]
+    lower = W.FOLD[data]
+    lower[latin & (data < 0x9F)] += 32
+    return begin, begin + np.where(plain, letters, 0), lower
+
+
 class WordEncoder:
     """Token ids of texts, word by word, with a bounded memory of words and of pieces of words.
 
@@ -213,8 +243,6 @@ class WordEncoder:
     and take some 20 to 30 bytes each.
     """
 
-    _MARK = r"[!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*"
-    _PLAIN = re.compile(rf"({_MARK})([A-Za-zÀ-ÖØ-öø-ÿ]+)({_MARK})")
     #: Words whose ids are put together at a time.
     _STEP = 1 << 18
 
@@ -230,9 +258,12 @@ class WordEncoder:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.forget()
 
-    def forget(self) -> None:
-        self.words, self.pieces = _Table(), _Table()
-        self.rows = np.zeros((1 << 12, 3), np.int32)
+    def forget(self, pieces: bool = True) -> None:
+        """Drop all known words, and the pieces they are made of if ``pieces``."""
+        self.words, self.rows = _Table(), np.zeros((1 << 12, 3), np.int32)
+        if not pieces:
+            return
+        self.pieces = _Table()
         self.flat = np.zeros(1 << 12, np.uint16 if len(self.ends) <= 1 << 16 else np.uint32)
         self.begin = np.zeros(1 << 12, np.int64)
         self._add(np.array([W.EMPTY]), np.zeros(1, np.int64), np.zeros(0, np.int64))
@@ -249,40 +280,39 @@ class WordEncoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _new(self, names: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
-        """Hashes of names, and those that are no known pieces with their hashes."""
-        raw = [x.encode() for x in names]
-        ends = np.cumsum([len(x) for x in raw], dtype=np.int64)
-        keys = W.hash_words(np.frombuffer(b"".join(raw), np.uint8), np.append(0, ends[:-1]).astype(np.int64), ends, fold=False) if raw else np.zeros(0, np.uint64)
-        keys[[not x for x in raw]] = W.EMPTY
+    def _new(self, data: np.ndarray, *ranges: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Hashes of ranges of ``data``, and those that are no known pieces with their hashes."""
+        starts, ends = (np.concatenate(x) for x in zip(*ranges, strict=True))
+        keys = np.concatenate([W.hash_words(data, *x, fold=False) for x in ranges])
+        keys[starts == ends] = W.EMPTY
         first = np.unique(keys, return_index=True)[1]
         first = first[self.pieces.find(keys[first]) < 0]
-        return keys, [names[i] for i in first.tolist()], keys[first]
-
-    def _learn(self, words: list[bytes], keys: np.ndarray) -> None:
-        parsed: list[list[str]] = [[], [], []]
-        for word in words:
-            text = word.decode()
-            if plain := self._PLAIN.fullmatch(text):
-                before, body, after = plain.groups()
-            else:
-                before, body, after = text, "", ""
-            for own, part in zip(parsed, (before, body.lower(), after), strict=True):
-                own.append(part)
-        letters, new, fresh = self._new(parsed[1])
+        return keys, [data[a:b].tobytes().decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], keys[first]
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> None:
+        """Words ``data[starts[i]:ends[i]]``, from the first to the last, with their hashes."""
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[starts] = 1
+        inside[ends] -= 1
+        data = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+        ends = np.cumsum(ends - starts)
+        starts = np.append(0, ends[:-1])
+        begin, end, lower = plain_bodies(data, starts, ends)
+        letters, new, fresh = self._new(lower, (begin, end))
         lines = [new[i : i + 100] for i in range(0, len(new), 100)]
         ids = np.array([i for x in self._encode([" ".join(x) for x in lines]) for i in x], np.int64)
         last = np.flatnonzero(self.ends[ids])
         assert len(last) == len(new), "the tokenizer does not mark the ends of words"
         self._add(fresh, np.diff(last, prepend=-1), ids)
-        around, new, fresh = self._new(parsed[0] + parsed[2])
+        around, new, fresh = self._new(data, (starts, begin), (end, ends))
         found = self._encode(new)
         self._add(fresh, np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], np.int64))
         n = self.words.n
-        self.rows = _grown(self.rows, n + len(words))
-        place = (self.pieces.find(around[: len(words)]), self.pieces.find(letters), self.pieces.find(around[len(words) :]))
-        self.rows[n : n + len(words)] = np.stack(place, axis=1)
-        self.words.add(keys)
+        self.rows = _grown(self.rows, n + len(starts))
+        place = self.pieces.find(around)
+        order = np.argsort(keys)
+        self.rows[n : n + len(starts)] = np.stack((place[: len(starts)], self.pieces.find(letters), place[len(starts) :]), axis=1)[order]
+        self.words.add(keys[order])
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -293,13 +323,13 @@ class WordEncoder:
         """Ids of the texts ``data[offs[i]:offs[i + 1]]`` one after the other, and where each begins, and the end."""
         data, offs = data[offs[0] : offs[-1]], offs - offs[0]
         if max(self.words.n, self.pieces.n) > self.known:
-            self.forget()
+            self.forget(self.pieces.n > self.known)
         starts, ends, word_lo = W.find_words(data, offs, W.NOT_SPACE)
         keys, first, inverse = np.unique(W.hash_words(data, starts, ends, fold=False), return_index=True, return_inverse=True)
         place = self.words.find(keys)
         if len(new := np.flatnonzero(place < 0)):
-            at = first[new]
-            self._learn([data[a:b].tobytes() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], keys[new])
+            new = new[np.argsort(first[new])]
+            self._learn(data, starts[first[new]], ends[first[new]], keys[new])
             place = self.words.find(keys)
         rows = self.rows[place]
         sizes = (self.begin[rows + 1] - self.begin[rows]).sum(axis=1)[inverse]
