@@ -13,9 +13,9 @@ def _ordered(order: str, value: Column, separator: str) -> Column:
 
 
 def render(chapters: DataFrame, key: str) -> DataFrame:
-    """key, markup: all chapters of a book (key, chapter_index, title, html) as one."""
+    """key, markup: all chapters of a book (key, chapter_index, title, html) as one; null if none has markup."""
     section = F.concat(F.lit("<section><h1>"), X.escape(F.col("title")), F.lit("</h1>"), F.col("html"), F.lit("</section>"))
-    return chapters.groupBy(key).agg(_ordered("chapter_index", section, "\n").alias("markup"))
+    return chapters.groupBy(key).agg(F.when(F.count(section) > 0, _ordered("chapter_index", section, "\n")).alias("markup"))
 
 
 def reader_files(chapters: DataFrame, key: str, language: str = "vi") -> DataFrame:

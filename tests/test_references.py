@@ -31,3 +31,12 @@ def test_cut_references_as_in_sql(spark, pages, name):
 def test_functions_still_decode_what_html_decodes(spark):
     frame = spark.createDataFrame([(x,) for x in _CUT], "x string").select("x", X.unescape(F.col("x")).alias("y"))
     assert all(r["y"] == html.unescape(r["x"]) for r in frame.collect())
+
+
+@pytest.mark.parametrize("name", ["reader_files", "render_books"])
+def test_odd_pages_as_in_sql(spark, tmp_path, name):
+    """Pages that are null, empty or blank, and titles to be escaped, folded, cut and counted."""
+    texts = [None, "", "  ", "<h1></h1>", "<h1>x</h1>", "<h1>\u00c9 \u00df &amp; 'q' \"z\"</h1>a", "<H1 class=a>A<b>b</b></H1>t<h1>ab</h1>u", "<h1>a</h1><img src='https://x/y.png'>t", "<h1>" + "ab " * 40 + "</h1>x", "<h1>1</h1>x<h1>2</h1>y" * 6]
+    columns = [pa.array(range(len(texts)), pa.int64()), pa.array(["https://a.example/"] * len(texts)), pa.array(texts)]
+    pq.write_table(pa.table(columns, names=["page_id", "url", "html"]), tmp_path / "pages.parquet")
+    assert compare(catalogue.QUERIES[name](spark, str(tmp_path)), catalogue.ORACLE[name], str(tmp_path)) == ""
