@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import connected_components
-from .tables import Scratch, bounded_batches, load
+from .tables import Scratch, bounded_batches, free, load
 
 _U = np.uint64
 
@@ -169,8 +169,9 @@ def near_duplicates(
     read whole, each in memory on its own.  Repeated rows count as one document each time; ties go to the smallest
     doc_id.  Empty tables give no rows; other columns are not read, whatever their names.
     """
-    bounded_batches(documents.sparkSession)
-    scratch = Scratch(documents.sparkSession)
+    spark = documents.sparkSession
+    bounded_batches(spark)
+    scratch = Scratch(spark)
     rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     signed = scratch.keep(rows.mapInArrow(partial(_sign, size=shingle, tuples=tuples, width=width), SIGNED))
     classes = signed.where("n > 0").groupBy("set_lo", "set_hi").agg(
@@ -178,6 +179,7 @@ def near_duplicates(
     )
     spelt = [F.col("parity")[i].alias(f"p{i}") for i in range(PARITY)]
     classes = scratch.keep(classes.where("node is not null").select(F.col("set_lo").alias("c"), "set_hi", "node", "n", "keys", *spelt))
+    free(spark)
     # A table key can only be shared where both halves are.
     pieces = classes.select("c", F.posexplode("keys").alias("t", "key"))
     shared = pieces.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
@@ -188,22 +190,27 @@ def near_duplicates(
     alive = tables.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
     entries = tables.join(alive, "bucket").groupBy("c").agg(F.collect_set("bucket").alias("buckets"))
     nodes = scratch.keep(entries.join(classes.select("c", "node", "n", "keys", *[f"p{i}" for i in range(PARITY)]), "c"))
+    free(spark)
     wanted = nodes.select(F.col("node").alias("doc_id")).distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
     sets = rows.join(wanted, "doc_id", "left_semi").mapInArrow(partial(_sets, size=shingle), "c long, shingles array<long>")
     sets = scratch.keep(sets.join(nodes.select("c"), "c", "left_semi").dropDuplicates(["c"]))
+    free(spark)
 
     links, label = [], None
     for turn in range(star_rounds):
         live = _labelled(nodes, label)
         pairs = scratch.keep(_stars(live, turn, percent))
         links.append(scratch.keep(_linked(pairs, sets, percent), pairs))
+        free(spark)
         if turn + 1 < star_rounds:
             label = scratch.keep(_nearer(live.select("node", F.col("label").alias("component")).distinct(), links[-1]), label)
     if links:
         label = scratch.keep(connected_components(reduce(DataFrame.unionByName, links), scratch=scratch), label, *links)
+        free(spark)
     pairs = scratch.keep(_rest(_labelled(nodes, label), tuples, percent))
     found = scratch.keep(_linked(pairs, sets, percent), pairs, sets)
+    free(spark)
     # Links that are left join whole components.
     label = nodes.select("node", F.col("node").alias("component")).distinct() if label is None else label
     of = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"{side}_component"))
@@ -211,6 +218,7 @@ def near_duplicates(
     joined = joined.select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b"))
     above = connected_components(joined, scratch=scratch).select(F.col("node").alias("component"), F.col("component").alias("least"))
     above = scratch.keep(above, found)
+    free(spark)
     every = nodes.select("node").distinct().join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     label = scratch.keep(every.join(above, "component", "left").select("node", F.coalesce("least", "component").alias("component")), label, nodes)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -40,6 +41,15 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "4m")
 
 
+def free(spark: SparkSession) -> None:
+    """Have the driver collect its garbage now; shuffle files and broadcasts that no frame refers to go with it.
+
+    Where many plans follow each other quickly, its heap would rather grow than be collected.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Write a frame to the shared checkpoint folder and read it from there."""
     ensure_checkpoint_dir(frame.sparkSession)

@@ -35,3 +35,12 @@ def test_decisions_of_stages(spark):
     redacted = {r["doc_id"]: r for r in stage["personal_data"](spark, docs, SF).collect()}
     assert redacted[6]["text"].startswith("write to [EMAIL] about") and redacted[6]["n_chars"] == len(redacted[6]["text"])
     assert redacted[1]["text"] == clean and rows_of(stage["personal_data"](spark, docs, SF))
+
+
+def test_near_duplicates_let_the_driver_collect_its_garbage(spark):
+    """The driver's heap is collected in full while the steps run, not only when it is full."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string"), "")
+    assert full() > before + 3
