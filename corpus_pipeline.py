@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import decontaminate, language, neardup, packing, pii
-from leafmill.llm.tables import ensure_checkpoint_dir, load
+from leafmill.llm.tables import ensure_checkpoint_dir, free, load
 
 #: A prediction of less than this posterior is rejected like ``und``.
 LEAST_SCORE = 0.5
@@ -59,12 +60,25 @@ def _same(docs: DataFrame) -> list:
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _freed(stage: Stage) -> Stage:
+    """``stage``, with what its predecessors left in the driver collected before it begins."""
+
+    @wraps(stage)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        free(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begin
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("language", identify_language),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontaminate", drop_contaminated),
-    ("personal_data", redact_personal_data),
-    ("pack", pack),
+    ("language", _freed(identify_language)),
+    ("near_duplicates", _freed(drop_near_duplicates)),
+    ("decontaminate", _freed(drop_contaminated)),
+    ("personal_data", _freed(redact_personal_data)),
+    ("pack", _freed(pack)),
 ]
 
 #: Neither a fitted language model nor packing can be put in SQL; tests hold the stages against brute force.

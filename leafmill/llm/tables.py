@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +45,26 @@ def bounded_batches(spark: SparkSession) -> None:
 def free(spark: SparkSession) -> None:
     """Have the driver collect its garbage now; shuffle files and broadcasts that no frame refers to go with it.
 
-    Where many plans follow each other quickly, its heap would rather grow than be collected.
+    Where many plans follow each other quickly, its heap would rather grow than be collected.  What the JVM freed
+    outside its heap goes back to the system as well, as the C library would keep it, in arenas of many threads.
     """
     gc.collect()
     spark._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> bool:
+    """Have the driver's C library give back the memory that the JVM freed outside its heap; false where it cannot."""
+    java, array = spark._jvm, spark.sparkContext._gateway.new_array
+    server = java.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    args = array(java.Object, 4)  # of MBeanServer.invoke; the server's own class is not open to Py4J
+    args[0], args[1] = java.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    invoke = next(m for m in java.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    try:
+        invoke.invoke(server, args)
+    except Py4JError:
+        return False
+    return True
 
 
 def cut(frame: DataFrame) -> DataFrame:

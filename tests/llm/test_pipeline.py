@@ -4,7 +4,8 @@ import corpus_pipeline
 from oracle import rows_of
 from pyspark.sql import functions as F
 
-from leafmill.llm.tables import load
+from leafmill.llm import tables
+from leafmill.llm.tables import load, trim
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +45,22 @@ def test_near_duplicates_let_the_driver_collect_its_garbage(spark):
     before = full()
     corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string"), "")
     assert full() > before + 3
+
+
+def test_every_stage_lets_the_driver_collect_its_garbage_first(spark):
+    """Each stage begins with a full collection, so its predecessors' plans do not stay in the driver."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = spark.createDataFrame([(1, "house tree river cloud stone field", "en")], "doc_id long, text string, lang string")
+    for name, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs, SF)
+        assert full() > before, name
+
+
+def test_free_gives_native_memory_back(spark, monkeypatch):
+    """What the JVM freed outside its heap is handed back; this JVM has the command for it."""
+    asked = []
+    monkeypatch.setattr(tables, "trim", lambda session: asked.append(trim(session)))
+    tables.free(spark)
+    assert asked == [True]
